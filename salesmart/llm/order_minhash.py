@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise, partitions, text_or_empty
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a signature (a power of two).
-K, TUPLE, SIZE = 6, 3, 64
+K, TUPLE, SIZE = 6, 2, 128
 _MUL, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -34,7 +34,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def signature(points: np.ndarray) -> np.ndarray:
-    """Order MinHash of a text given as code points: SIZE unsigned 32-bit values.
+    """Order MinHash of a text given as code points: SIZE unsigned 16-bit values.
 
     Each k-mer is hashed with the number of its occurrence. The hashes fall into SIZE bins; in each the
     TUPLE smallest are selected, put back in text order and hashed together. A bin without a k-mer is
@@ -42,7 +42,7 @@ def signature(points: np.ndarray) -> np.ndarray:
     """
     n = len(points)
     if not n:
-        return np.zeros(SIZE, np.uint32)
+        return np.zeros(SIZE, np.uint16)
     k = min(K, n)
     h = np.zeros(n - k + 1, np.uint64)
     for j in range(k):
@@ -66,7 +66,7 @@ def signature(points: np.ndarray) -> np.ndarray:
     out = np.zeros(SIZE, np.uint64)
     for j in range(TUPLE):
         out = _mix(out * _MUL + value[:, j])
-    return np.where(real[:, 0], (out >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+    return np.where(real[:, 0], (out >> np.uint64(48)).astype(np.uint16) | np.uint16(1), np.uint16(0))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
