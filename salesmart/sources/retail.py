@@ -13,7 +13,7 @@ COLUMNS = ("invoice", "stockcode", "description", "quantity", "invoicedate", "pr
 def read_retail_csv(spark: SparkSession, path: str) -> DataFrame:
     """Quoted CSV with a header line; eight text columns by position, nothing typed or trimmed."""
     schema = ", ".join(f"{c} string" for c in COLUMNS)
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("quote", '"').option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("quote", "\"").option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def write_retail_csv(retail: DataFrame, path: str) -> None:
