@@ -21,8 +21,8 @@ class Params:
     """buckets: size of the hash table. dim: embedding size. sizes: characters of a subword.
 
     per_language, total: documented bounds on the training sample, in documents.
-    segment: code points of a training segment (texts are cut whole into segments). min_score: calibrated
-    probability below which a prediction is rejected.
+    segment: code points of a training segment (texts are cut whole into segments). over_chance: a
+    prediction is rejected below so many times the probability of a guess among the languages.
     """
 
     buckets: int = 1 << 15
@@ -33,7 +33,7 @@ class Params:
     epochs: int = 4
     rate: float = 0.5
     segment: int = 240
-    min_score: float = 0.5
+    over_chance: float = 1.1
     seed: int = 7
 
 
@@ -58,6 +58,11 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    @property
+    def least(self) -> float:
+        """Calibrated probability below which a prediction is rejected."""
+        return min(0.99, self.params.over_chance / max(1, len(self.languages)))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0
@@ -176,19 +181,19 @@ def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
 def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted for every row of ``docs`` (doc_id, text, lang).
 
-    A prediction is made of the whole text alone. ``accepted`` is false for ``und`` and below min_score.
+    A prediction is made of the whole text alone. ``accepted`` is false for ``und`` and below the model's least score.
     Repeated rows are predicted each by itself; without any training row all are ``und``.
     """
     model = train(docs, params)
     out = predict(docs.select("doc_id", "text"), model)
     return out.select(
         "doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"),
-        ((F.col("_lang") != UNKNOWN) & (F.col("_score") >= params.min_score)).alias("accepted"),
+        ((F.col("_lang") != UNKNOWN) & (F.col("_score") >= model.least)).alias("accepted"),
     )
 
 
 def keep_identified(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` without the documents that language identification rejects."""
     model = train(docs, params)
-    out = predict(docs, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= params.min_score))
+    out = predict(docs, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= model.least))
     return out.select(*docs.columns)
