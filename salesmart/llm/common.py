@@ -52,12 +52,14 @@ def text_or_empty() -> F.Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def dense_rank_salted(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int = 256) -> DataFrame:
+def dense_rank_salted(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int | None = None) -> DataFrame:
     """Number the rows of each key from 0 without bringing a hot key into one task.
 
     Rows are numbered inside (key, salt), the salt being a hash of the ordering columns, and each salt
-    starts where the one before it ends. The order is fixed by salt, then by ``order``.
+    starts where the one before it ends. The order is fixed by salt, then by ``order``. There are 256
+    salts, or as many as shuffle partitions if that is more.
     """
+    salts = salts or max(256, partitions(df.sparkSession))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

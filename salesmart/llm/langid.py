@@ -20,9 +20,13 @@ _MULTIPLIERS = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917,
 class Params:
     """buckets: size of the hash table. dim: embedding size. sizes: characters of a subword.
 
-    per_language, total: documented bounds on the training sample, in documents.
-    segment: code points of a training segment (texts are cut whole into segments). over_chance: a
-    prediction is rejected below so many times the probability of a guess among the languages.
+    per_language, total: documented bounds on the training sample, in documents; languages: most
+    languages learned, the frequent ones first. segment: code points of a training segment;
+    per_document: most segments of a sampled document (longer ones give as many, evenly spaced).
+    steps: training segments an epoch. aside: most segments kept aside to calibrate the scores.
+    over_chance: a prediction is rejected below so many times the probability of a guess among the
+    languages. A higher limit would reject documents that mix languages: labels of segments cut from
+    those are wrong as often as the predictions are.
     """
 
     buckets: int = 1 << 15
@@ -30,9 +34,13 @@ class Params:
     sizes: tuple[int, ...] = (1, 2, 3, 4)
     per_language: int = 400
     total: int = 4000
+    languages: int = 500
     epochs: int = 4
     rate: float = 0.5
     segment: int = 240
+    per_document: int = 100
+    steps: int = 6000
+    aside: int = 2000
     over_chance: float = 1.1
     seed: int = 7
 
@@ -90,20 +98,24 @@ def subwords(text: str, params: Params) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _segments(text: str, size: int) -> list[str]:
-    return [text[i : i + size] for i in range(0, len(text), size)] if text else []
+def segments(params: Params) -> F.Column:
+    """The text cut whole into segments; a text of over ``per_document`` segments gives as many, evenly spaced."""
+    n = F.ceil(F.length("text") / params.segment)
+    most = F.lit(params.per_document)
+    step = F.when(n > most, F.length("text") / most).otherwise(F.lit(float(params.segment)))
+    cut = F.transform(F.sequence(F.lit(1), F.least(n, most)), lambda k: F.substring("text", F.floor((k - 1) * step).cast("int") + 1, F.lit(params.segment)))
+    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
-def fit(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
-    """Train on (language, text) rows; a tenth of the rows is kept aside to calibrate the scores."""
+def fit(rows: list[tuple[str, list[str]]], params: Params = Params()) -> Model:
+    """Train on (language, segments of a text) rows; a tenth of the rows is kept aside to calibrate the scores."""
     languages = sorted({lang for lang, _ in rows})
     rng = np.random.default_rng(params.seed)
     index = {lang: k for k, lang in enumerate(languages)}
     train, aside = [], []
     for i in rng.permutation(len(rows)):
-        lang, text = rows[i]
-        segments = [s for s in _segments(text, params.segment) if _LETTER.search(s)]
-        (aside if len(train) and i % 10 == 0 else train).extend((index[lang], s) for s in segments)
+        lang, parts = rows[i]
+        (aside if len(train) and i % 10 == 0 else train).extend((index[lang], s) for s in parts if _LETTER.search(s))
     n = len(languages)
     if not train:
         return Model(languages if n == 1 else [], np.zeros((params.buckets, max(n, 1))), np.zeros(n), 1.0, params)
@@ -111,10 +123,9 @@ def fit(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
     w, b = np.zeros((params.dim, n)), np.zeros(n)
     prior = np.bincount([k for k, _ in train], minlength=n)
     share = prior.sum() / (n * np.maximum(prior, 1))  # languages weigh the same
-    most = 6000  # segments an epoch
     features: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for epoch in range(params.epochs):
-        for i in rng.permutation(len(train))[:most]:
+        for i in rng.permutation(len(train))[: params.steps]:
             k, text = train[i]
             if i not in features:
                 ids, counts = np.unique(subwords(text, params), return_counts=True)
@@ -130,7 +141,7 @@ def fit(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
             w -= np.outer(hidden, g)
             b -= 0.1 * g
     model = Model(languages, (e @ w).astype(np.float32), b, 1.0, params)
-    held = aside[:2000] or train[:2000]
+    held = aside[: params.aside] or train[: params.aside]
     logits = np.array([model.table[subwords(s, params)].mean(0) + b for _, s in held])
     truth = np.array([k for k, _ in held])
 
@@ -151,7 +162,7 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, params: Params = Params()) -> Model:
     """Fit on a bounded sample, even over the languages, of labelled documents that aren't held out."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()}
     if not sizes:
         return Model([], np.zeros((params.buckets, 1)), np.zeros(0), 1.0, params)
     each = max(20, min(params.per_language, params.total // len(sizes)))
@@ -159,9 +170,10 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(params.seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = [(r["lang"], r["text"]) for r in usable.where(drawn < share).select("lang", "text").collect()]
+    cut = usable.select("lang", segments(params).alias("parts"), (drawn < share).alias("drawn"))
+    rows = [(r["lang"], r["parts"]) for r in cut.where("drawn").collect()]
     if not rows:  # a table so small that the draw is empty
-        rows = [(r["lang"], r["text"]) for r in usable.select("lang", "text").limit(params.total).collect()]
+        rows = [(r["lang"], r["parts"]) for r in cut.limit(params.total).collect()]
     return fit(rows, params)
 
 

@@ -190,6 +190,15 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
+def test_training_segments(spark):
+    params = langid.Params(segment=5, per_document=4)
+    texts = ["", "abc", "éèêëēabcde", "é" * 20, "".join(chr(0x4E00 + i) for i in range(97))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.parts for r in df.select("text", langid.segments(params).alias("parts")).collect()}
+    assert got[""] == [] and got["abc"] == ["abc"] and got[texts[2]] == ["éèêëē", "abcde"] and got[texts[3]] == ["ééééé"] * 4
+    assert got[texts[4]] == [texts[4][k : k + 5] for k in (0, 24, 48, 72)]
+
+
 def test_permutation():
     for n in (1, 2, 5, 64, 1000, 4097):
         p = token_shards.permute(np.arange(n), n, 3)
