@@ -27,8 +27,8 @@ from .common import partitions, text_or_empty
 
 #: Bytes of a repeated string, and of the sampled strings within it.
 WIDTH, K = 50, 20
-#: Window starts handled at once in a long text.
-CHUNK = 1 << 20
+#: Window starts handled at once in a long text, and windows compared at once.
+CHUNK, COMPARED = 1 << 20, 1 << 16
 _SPREAD = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _MESSAGE = "share long, block long, kind int, a binary, b binary, c binary, d binary"
@@ -198,6 +198,29 @@ def _runs_out(shares: int):
     return run
 
 
+def _least_order(raw: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each window at ``at`` in ``raw`` the least ``own`` of the windows with the same bytes.
+
+    Windows are sorted by hash and neighbours compared byte by byte; where different windows share a
+    hash, that hash's windows are sorted by their bytes.
+    """
+    h = window_hashes(raw, WIDTH)[at]
+    by = np.lexsort((own, h))
+    new = np.concatenate(([True], h[by][1:] != h[by][:-1]))
+    window = np.lib.stride_tricks.sliding_window_view(raw, WIDTH)
+    repeats = np.flatnonzero(~new)
+    chance = [c[(window[at[by[c]]] != window[at[by[c - 1]]]).any(axis=1)] for c in np.split(repeats, range(COMPARED, len(repeats), COMPARED))]
+    groups = np.flatnonzero(new)
+    for g in np.unique(np.searchsorted(groups, np.concatenate(chance), side="right")):
+        rows = np.arange(groups[g - 1], groups[g] if g < len(groups) else len(by))
+        ordered = sorted((window[at[w]].tobytes(), own[w], w) for w in by[rows])
+        by[rows] = [w for _, _, w in ordered]
+        new[rows[1:]] = [a[0] != b[0] for a, b in zip(ordered, ordered[1:])]
+    least = np.empty_like(own)
+    least[by] = own[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    return least
+
+
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sort the windows of a share and return those that an earlier document has, as byte ranges by block."""
     for share, rows in _grouped(batches, "share"):
@@ -211,12 +234,8 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = np.cumsum(n)
             run = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(run)) - (ends - n)[run]
-            h = window_hashes(raw, WIDTH)[(np.cumsum(size) - size)[run] + step]
+            least = _least_order(raw, (np.cumsum(size) - size)[run] + step, order[run])
             own = order[run]
-            by = np.lexsort((own, h))
-            new = np.concatenate(([True], h[by][1:] != h[by][:-1]))
-            least = np.empty_like(own)
-            least[by] = own[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
             hit = own > least
             # stretches of covered windows, cut where a run ends
             begin = hit & np.concatenate(([True], ~hit[:-1] | (run[1:] != run[:-1])))
