@@ -24,26 +24,44 @@ KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
 #: Characters to each side of an access identifier that make its scope.
 SCOPE = 400
 
+#: Matches walked at once, and code points of a text masked at once.
+BLOCK, CHUNK = 64, 65_536
+
 SPAN = "struct<start:bigint,ord:int,end:bigint>"
 
 
 def _matches(pattern: str, ord_: int, keep) -> F.Column:
-    """Spans of the matches in ``text`` that ``keep`` admits; an empty array where there is none."""
+    """Spans of the matches in ``text`` that ``keep`` admits; an empty array where there is none.
+
+    Arrays are grown by copying, so matches are walked in blocks: each block's spans count from its own
+    start, and the blocks' starts are added at the end.
+    """
     parts = F.split("text", pattern, -1)
     whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     zipped = F.zip_with(whole, F.slice(parts, 1, F.size(whole)), lambda m, g: F.struct(F.length(g).cast("bigint").alias("gap"), m.alias("m")))
-    walked = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.when(
-                keep(x["m"]),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(ord_).alias("ord"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
-    return F.when(F.col("text").rlike(pattern), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast(f"array<{SPAN}>")
+    zero = F.lit(0).cast("bigint")
+
+    def step(acc: F.Column, x: F.Column) -> F.Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), F.lit(ord_).alias("ord"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(keep(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def blocks(found: F.Column) -> F.Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda k: F.aggregate(F.slice(found, k * BLOCK + 1, BLOCK), F.struct(zero.alias("at"), none.alias("out")), step))
+
+    def joined(done: F.Column) -> F.Column:
+        starts = F.aggregate(
+            done, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )["out"]
+        return F.flatten(F.zip_with(done, starts, lambda x, at: F.transform(x["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["ord"].alias("ord"), (s["end"] + at).alias("end")))))
+
+    # one-element arrays bind what is used many times, so that it is computed once
+    walked = F.transform(F.transform(F.array(zipped), blocks), joined)[0]
+    return F.when(F.col("text").rlike(pattern), walked).otherwise(none)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -130,15 +148,27 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     found = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_s")).distinct()
     clean, dirty = docs.where(~has_hit()), docs.where(has_hit())
     dirty = dirty.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
-    cut = F.aggregate(
-        "_s",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring("text", acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    whole = F.concat(cut["out"], F.substring("text", cut["at"].cast("int") + 1, F.length("text")))
+
+    def masked(chunk: F.Column, number: F.Column) -> F.Column:
+        first = number.cast("bigint") * CHUNK
+        mine = F.filter("_s", lambda s: (s["start"] < first + CHUNK) & (s["end"] > first))
+        return F.aggregate(
+            mine,
+            F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
+            lambda acc, x: F.struct(
+                F.greatest(acc["at"], F.least(x["end"] - first, F.lit(CHUNK).cast("bigint"))).alias("at"),
+                # a span that began in the chunk before has its mask there
+                F.when(
+                    x["start"] - first >= acc["at"],
+                    F.concat(acc["out"], F.substring(chunk, acc["at"].cast("int") + 1, (x["start"] - first - acc["at"]).cast("int")), F.lit(mask)),
+                ).otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: F.concat(acc["out"], F.substring(chunk, acc["at"].cast("int") + 1, F.lit(CHUNK))),
+        )
+
+    # texts are masked chunk by chunk, since reaching a place in a string takes the longer the further it is
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    whole = F.array_join(F.transform(chunks, masked), "")
     dirty = dirty.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
         dirty = dirty.withColumn("n_chars", F.length("text").cast("long"))
