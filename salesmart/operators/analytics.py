@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.parsing import ratio
+from ..sources.sinks import stored
 from .marts import HIGH, level, money
 
 KIND = "decimal(18,2)"
@@ -82,9 +83,10 @@ def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """RANK by ``value`` descending over all rows, without one task holding them.
 
     Rows are counted by value; values are ranged over tasks, ranks run inside a range, and each range
-    starts after the rows of the ranges before it.
+    starts after the rows of the ranges before it. The ranges are stored, so that a task run again can't
+    number them anew.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(F.desc(value)).withColumn("_range", F.spark_partition_id())
+    counts = stored(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(F.desc(value)).withColumn("_range", F.spark_partition_id()))
     sums = counts.groupBy("_range").agg(F.sum("_n").alias("_m"))
     before = sums.select("_range", F.coalesce(F.sum("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
     own = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -81,19 +81,22 @@ def ads_country_rank(summary: DataFrame) -> DataFrame:
 
 
 def latest_description(lines: DataFrame, *keys: str) -> DataFrame:
-    """One description a key: non-blank first, then the latest, then the greatest."""
-    order = Window.partitionBy(*keys).orderBy(F.when(blank("description"), 1).otherwise(0), F.desc("invoicedate"), F.desc_nulls_last("description"))
-    return lines.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select(*keys, "description")
+    """One description a key: non-blank first, then the latest, then the greatest. Combined before the shuffle."""
+    return lines.groupBy(*keys).agg(best_description().alias("description"))
+
+
+def best_description() -> Column:
+    """Of a group's descriptions the non-blank, latest, greatest one."""
+    order = F.struct((~blank("description")).alias("a"), F.col("invoicedate").alias("b"), F.coalesce("description", F.lit("")).alias("c"))
+    return F.max_by(F.struct("description"), order)["description"]
 
 
 def ads_high_value_preference(dwd: DataFrame, customer_value: DataFrame) -> DataFrame:
     """What each day's high-value customers buy, ranked by sales."""
     high = customer_value.where(F.col("customer_level") == HIGH).select("dt", "customerid")
     lines = dwd.join(high, ["dt", "customerid"], "left_semi")
-    # the description with the best (non-blank, time, text) rides along in the same aggregation
-    best = F.max_by(F.struct("description"), F.struct((~blank("description")).alias("a"), F.col("invoicedate").alias("b"), F.coalesce("description", F.lit("")).alias("c")))
     g = lines.groupBy("dt", "stockcode").agg(
-        best["description"].alias("description"), F.count_distinct("customerid").alias("high_value_customer_cnt"), F.count_distinct("invoice").alias("high_value_order_cnt"),
+        best_description().alias("description"), F.count_distinct("customerid").alias("high_value_customer_cnt"), F.count_distinct("invoice").alias("high_value_order_cnt"),
         F.sum("quantity").alias("total_quantity"), money("amount").alias("total_sales"),
     )
     return g.withColumn("sales_rank", F.rank().over(Window.partitionBy("dt").orderBy(F.desc("total_sales"))).cast("long"))

@@ -12,9 +12,13 @@ OPEN_END = "9999-12-31"
 
 
 def daily_customer_country(dwd: DataFrame) -> DataFrame:
-    """Country of each customer's latest line of a day; equal times take the lowest country."""
-    w = Window.partitionBy("dt", "customerid").orderBy(F.desc("invoicedate"), "country")
-    return dwd.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("dt", "customerid", "country")
+    """Country of each customer's latest line of a day; equal times take the lowest country.
+
+    Lines are combined by country before the shuffle, so the window runs over a customer's few countries.
+    """
+    last = dwd.groupBy("dt", "customerid", "country").agg(F.max("invoicedate").alias("_last"))
+    w = Window.partitionBy("dt", "customerid").orderBy(F.desc("_last"), "country")
+    return last.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("dt", "customerid", "country")
 
 
 def _key(*parts) -> F.Column:

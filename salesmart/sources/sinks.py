@@ -46,8 +46,12 @@ def overwrite_partition(df: DataFrame, path: str, dt: str) -> None:
 
 
 def overwrite_dynamic(df: DataFrame, path: str) -> None:
-    """Replace the dates that ``df`` has and leave the others; one task a date, so files stay few."""
-    df.repartition("dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    """Replace the dates that ``df`` has and leave the others.
+
+    Rows are rebalanced by date: small dates share a task, so files stay few, and adaptive execution
+    splits a large date over tasks.
+    """
+    df.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
 
 
 def overwrite_range(df: DataFrame, path: str, start: str, end: str, amount: str | None = None) -> DataFrame:
