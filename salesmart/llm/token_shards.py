@@ -78,5 +78,10 @@ def write_shards(docs: DataFrame, path: str, key: int = 20240229, stride: int =
     return n
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+def read_shards(spark, path: str, first: int = 0) -> DataFrame:
+    """The records at ``path`` from slot ``first`` on: a reader that stopped resumes at the slot it had reached.
+
+    Shards are sorted by slot, so the row groups' least and greatest slots keep what was read before unread.
+    """
+    out = spark.read.schema(SCHEMA).parquet(path)
+    return out.where(F.col("slot") >= first) if first else out

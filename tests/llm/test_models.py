@@ -213,6 +213,8 @@ def test_shards(spark, tmp_path):
     n = token_shards.write_shards(df, path, stride=64, shard=32)
     rows = sorted(token_shards.read_shards(spark, path).collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(n)) and all(r.shard == r.slot // 32 for r in rows)
+    later = token_shards.read_shards(spark, path, n // 2)
+    assert sorted(r.slot for r in later.collect()) == list(range(n // 2, n)) and "GreaterThanOrEqual(slot" in later._jdf.queryExecution().toString()
     ids = {d: np.append(encoder(VOCABULARY)(t or ""), 0) for d, t, *_ in docs}
     back = {d: {} for d in ids}
     for r in rows:
