@@ -155,6 +155,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_blocks():
     assert html_extract.blocks(PAGE) == (["Head & line", "First.", "Second part é字"], [])
     assert html_extract.blocks(None) == ([], []) and html_extract.blocks("plain <b>text") == ([], ["plain text"])
+    assert html_extract.blocks("<html><head><title>T</title><meta name=a><body><article><p>text<p>more</article>") == (["text", "more"], [])
+    hidden = ['class="site-navigation"', 'id="cookie_consent"', 'class="x replies"', 'style="color:red; display: none"', "hidden", 'role="banner"']
+    seen = ['class="address"', 'class="headers"', 'style="display:block"', 'id="shared"']
+    page = "<article>" + "".join(f"<div {a}>{i}</div>" for i, a in enumerate(hidden + seen)) + "</article>"
+    assert html_extract.blocks(page) == (["6", "7", "8", "9"], [])
 
 
 def test_common_lines():
