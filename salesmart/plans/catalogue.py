@@ -130,6 +130,8 @@ _QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "bi_export_long": lambda t: M.bi_export_long(t.contribution, t.distribution, t.rank),
     "serving_upsert": _upsert,
     "replicate_dataset": lambda t: R.replicate_dataset(t.retail.where("invoicedate like '____-__-__ __:__:__'"), 3, 2, trim=True, lineage=True),
+    "replicate_dataset_unshifted": lambda t: R.replicate_dataset(t.retail, 3, trim=True, lineage=True),
+    "replicate_dataset_parseable": lambda t: R.replicate_dataset(t.retail.where(L.parse_invoice_ts("invoicedate").isNotNull()), 3, 2, trim=True, lineage=True),
     "dataset_profile": lambda t: R.dataset_profile(t.retail),
     "dws_customer_value": lambda t: t.value,
     "dws_sales_summary": lambda t: t.summary,

@@ -98,6 +98,10 @@ V: dict[str, str] = {
     "dataset_profile": f"SELECT count(*) AS row_count, count(ts) AS parseable, count(*) FILTER (ts IS NULL) AS unparseable, strftime(min(ts), '%Y-%m-%d') AS min_date, strftime(max(ts), '%Y-%m-%d') AS max_date FROM (SELECT {_TS} AS ts FROM retail)",
     "replicate_dataset": f"""SELECT {', '.join(f'{x}' for x in _TEXTS if x != 'invoicedate')}, strftime({_TS} + to_years(CAST((n - 1) * 2 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS invoicedate, md5(concat_ws('|', {', '.join(f"coalesce({x}, '<NULL>')" for x in _TEXTS)})) AS source_row_id, CAST(n AS INTEGER) AS source_copy_id
       FROM (SELECT {', '.join(f'trim({x}) AS {x}' for x in _TEXTS)} FROM retail WHERE invoicedate LIKE '____-__-__ __:__:__'), range(1, 4) r(n)""",
+    "replicate_dataset_unshifted": f"""SELECT {', '.join(_TEXTS)}, md5(concat_ws('|', {', '.join(f"coalesce({x}, '<NULL>')" for x in _TEXTS)})) AS source_row_id, CAST(n AS INTEGER) AS source_copy_id
+      FROM (SELECT {', '.join(f'trim({x}) AS {x}' for x in _TEXTS)} FROM retail), range(1, 4) r(n)""",
+    "replicate_dataset_parseable": f"""SELECT {', '.join(f'{x}' for x in _TEXTS if x != 'invoicedate')}, strftime({_TS} + to_years(CAST((n - 1) * 2 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS invoicedate, md5(concat_ws('|', {', '.join(f"coalesce({x}, '<NULL>')" for x in _TEXTS)})) AS source_row_id, CAST(n AS INTEGER) AS source_copy_id
+      FROM (SELECT {', '.join(f'trim({x}) AS {x}' for x in _TEXTS)} FROM retail WHERE {_TS} IS NOT NULL), range(1, 4) r(n)""",
     "dws_customer_value": f"SELECT customerid, count(DISTINCT invoice) AS order_count, CAST(sum(amount) AS DECIMAL(12,2)) AS total_spent, {level('sum(amount)')} AS customer_level, dt FROM dwd_clean GROUP BY dt, customerid",
     "dws_sales_summary": f"SELECT country, count(DISTINCT invoice) AS total_orders, count(DISTINCT customerid) AS total_customers, CAST(sum(amount) AS DECIMAL(14,2)) AS total_sales, {avg('sum(amount)', 'count(DISTINCT invoice)', 'DECIMAL(14,2)')} AS avg_order_value, dt FROM dwd_clean GROUP BY dt, country",
     "dws_sales_summary_salted": "SELECT * FROM dws_sales_summary",

@@ -225,3 +225,16 @@ def test_entry_without_the_corpus_package():
         if "llm" not in f.relative_to(top).parts:
             names = [getattr(n, "module", None) or "" for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.ImportFrom)]
             assert not any("llm" in n.split(".") for n in names), f
+
+
+def test_replicated_table_is_whole(spark):
+    """The queries replicate every landed row, and shift every row whose date parses, in all four formats."""
+    from salesmart.plans import catalogue
+
+    sf, q = "/root/testdata/sf0.001", catalogue.queries()
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    profile = q["dataset_profile"](spark, sf).first()
+    assert q["replicate_dataset_unshifted"](spark, sf).count() == 3 * rows == 3 * profile.row_count
+    shifted = q["replicate_dataset_parseable"](spark, sf)
+    assert shifted.count() == 3 * profile.parseable > 2 * rows
+    assert shifted.where("not invoicedate rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$'").count() == 0
