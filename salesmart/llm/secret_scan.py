@@ -15,7 +15,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 HEX_LONG = r"[0-9a-f]{24,}"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
 ENDPOINT = r"https?://[^\x20\x09-\x0D\"'<>]+"
 #: Least characters of an assigned value, an access identifier and a hex run.
 LEAST = {"assign": 6, "access": 20, "hex": 24}
