@@ -92,13 +92,25 @@ class _Blocks(HTMLParser):
             self.parts.append(data)
 
 
-def blocks(html: str | None) -> tuple[list[str], list[str]]:
-    """Blocks of the article, and blocks outside any article; hidden and furniture elements give none."""
+def _parsed(html: str | None) -> list[tuple[bool, str]]:
     p = _Blocks()
     p.feed(html or "")
     p.close()
     p.flush()
-    return [t for own, t in p.blocks if own], [t for own, t in p.blocks if not own]
+    return p.blocks
+
+
+def blocks(html: str | None) -> tuple[list[str], list[str]]:
+    """Blocks of the article, and blocks outside any article; hidden and furniture elements give none."""
+    found = _parsed(html)
+    return [t for own, t in found if own], [t for own, t in found if not own]
+
+
+def guarded(html: str | None) -> tuple[list[str], list[bool]]:
+    """Blocks in page order, and whether each is protected: it stands in an article and articles hold most of the page's text."""
+    found = _parsed(html)
+    most = 2 * sum(len(t) for own, t in found if own) > sum(len(t) for _, t in found)
+    return [t for _, t in found], [own and most for own, _ in found]
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -135,56 +147,78 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return shared
 
 
+def _runs(lines: DataFrame, order: list[str]) -> DataFrame:
+    """``lines`` with ``start``, whether a row begins a run of equal pages, and ``head``, the key of its run's first row.
+
+    Ranges of (host, path) split a large host over tasks; what goes across an edge comes from one row a range.
+    """
+    key, same = F.struct(*order), F.struct("host", "x")
+    over = Window.orderBy("range")  # one row a range
+    own = Window.partitionBy("range").orderBy(*order)
+    edge = lines.groupBy("range").agg(F.max_by(same, key).alias("last"))
+    edge = edge.select("range", F.lag("last").over(over).alias("e_before"))
+    found = lines.join(F.broadcast(edge), "range", "left").withColumn("before", F.coalesce(F.lag(same).over(own), "e_before"))
+    found = materialise(found.withColumn("start", F.col("before").isNull() | (F.col("before") != same)).drop("before", "e_before"))
+    heads = found.groupBy("range").agg(F.max(F.when(F.col("start"), key)).alias("head"))
+    heads = heads.select("range", F.last("head", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("e_head"))
+    mine = F.last(F.when(F.col("start"), key), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return found.join(F.broadcast(heads), "range", "left").withColumn("head", F.coalesce(mine, "e_head")).drop("e_head")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Blocks inside an article or main element are the text, whatever other pages say. A page without
-    such an element is taken as its remaining blocks, less the lines it shares with the page before and
-    the page after it by URL path on its host (longest common subsequence); pages alone on a host, and
-    pages that would lose every line, keep all. Equal pages beside each other are passed over as neighbours.
-    Null html is empty, a null url is the empty host; repeated rows are pages of their own.
+    A page is its blocks in page order, less the lines it shares with the nearest different page before
+    and after it by URL path on its host (longest common subsequence, on hashes of the lines). Equal pages
+    beside each other are one run with one pair of neighbours. Lines inside an article or main element stay
+    whatever other pages say, where such elements hold most of the page's text; otherwise the mark counts for
+    nothing. Pages alone on a host, and pages that would lose every line, keep all. Null html is empty, a null
+    url is the empty host; repeated rows are pages of their own.
     """
     host, path = host_and_path(F.col("url"))
 
-    @F.pandas_udf("article array<string>, loose array<string>")
+    @F.pandas_udf("lines array<string>, guard array<boolean>")
     def parsed(htmls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in htmls:
-            yield pd.DataFrame([blocks(h) for h in batch], columns=["article", "loose"])
+            yield pd.DataFrame([guarded(h) for h in batch], columns=["lines", "guard"])
 
-    base = pages.select("page_id", "url", host.alias("host"), path.alias("path"), parsed("html").alias("b"))
-    base = base.select("page_id", "url", "host", "path", F.array_join("b.article", "\n").alias("article"), (F.size("b.article") > 0).alias("sure"), "b.loose")
     spark = pages.sparkSession
-    # ranges of (host, path) split a large host over tasks; neighbours across an edge come from a row a range
     order = ["host", "path", "x"]
-    base = base.withColumn("x", F.xxhash64("loose"))
-    base = materialise(base)  # parsed once; only the lines outside articles are dealt out below
-    lines = base.where(F.size("loose") > 0).groupBy(*order).agg(F.first("loose").alias("loose"), F.min("sure").alias("sure"))  # alike pages stand once
+    base = pages.select("page_id", "url", host.alias("host"), path.alias("path"), parsed("html").alias("b")).select("page_id", "url", "host", "path", "b.*")
+    base = base.withColumn("x", F.xxhash64("lines")).withColumn("open", F.exists("guard", lambda g: ~g))
+    base = materialise(base)  # parsed once; only hashes of lines, and pages with lines to lose, are dealt out below
+    hosts = base.where("open").select("host").distinct()  # on other hosts no page has lines to lose
+    lines = base.where(F.size("lines") > 0).select(*order, "open", F.transform("lines", lambda t: F.xxhash64(t)).alias("hashes"))
+    lines = lines.join(hosts, "host")  # not a semi-join, which the optimizer moves below the hashing, where it would deal out the texts
+    lines = lines.groupBy(*order).agg(F.first("hashes").alias("hashes"), F.max("open").alias("open"))  # alike pages stand once
     lines = materialise(lines.repartitionByRange(partitions(spark), *order).withColumn("range", F.spark_partition_id()))
-    edge = lines.groupBy("range").agg(F.min_by(F.struct("host", "loose"), F.struct(*order)).alias("first"), F.max_by(F.struct("host", "loose"), F.struct(*order)).alias("last"))
+    runs = materialise(_runs(lines, order))
+    heads = runs.where("start").select(*order, "hashes", "head").repartitionByRange(partitions(spark), *order)
+    heads = materialise(heads.withColumn("range", F.spark_partition_id()))
+    me, key = F.struct("host", "hashes"), F.struct(*order)
+    edge = heads.groupBy("range").agg(F.min_by(me, key).alias("first"), F.max_by(me, key).alias("last"))
     over = Window.orderBy("range")  # one row a range
     edge = edge.select("range", F.lag("last").over(over).alias("e_before"), F.lead("first").over(over).alias("e_after"))
     own = Window.partitionBy("range").orderBy(*order)
-    me = F.struct("host", "loose")
-    near = lines.withColumn("before", F.lag(me).over(own)).withColumn("after", F.lead(me).over(own)).where("not sure")
-    near = near.join(F.broadcast(edge), "range", "left")
-    near = near.select(*order, "loose", F.array(F.coalesce("before", "e_before"), F.coalesce("after", "e_after")).alias("near"))
-    near = near.withColumn("near", F.filter("near", lambda n: n.isNotNull() & (n["host"] == F.col("host")) & (n["loose"] != F.col("loose"))))
-
-    @F.pandas_udf("string")
-    def kept(loose: pd.Series, near_: pd.Series) -> pd.Series:
+    near = heads.withColumn("before", F.lag(me).over(own)).withColumn("after", F.lead(me).over(own)).join(F.broadcast(edge), "range", "left")
+    near = near.join(runs.where("open").select("head").distinct(), "head", "left_semi")
+    near = near.select("head", "hashes", "host", F.array(F.coalesce("before", "e_before"), F.coalesce("after", "e_after")).alias("near"))
+    near = near.withColumn("near", F.filter("near", lambda n: n.isNotNull() & (n["host"] == F.col("host"))))
+
+    @F.pandas_udf("array<int>")
+    def shared(hashes: pd.Series, near_: pd.Series) -> pd.Series:
         out = []
-        for own_lines, others in zip(loose, near_):
-            own_lines = list(own_lines)
+        for own_lines, others in zip(hashes, near_):
             gone: set[int] = set()
             for other in others:
-                gone |= common_lines(own_lines, list(other))
-            left = [t for i, t in enumerate(own_lines) if i not in gone]
-            out.append("\n".join(left or own_lines))
+                gone |= common_lines(own_lines.tolist(), other.tolist())
+            out.append(sorted(gone))
         return pd.Series(out, dtype="object")
 
-    text = near.select(*order, kept("loose", F.transform("near", lambda n: n["loose"])).alias("_t")).dropDuplicates(order)
-    plain = base.where("sure or size(loose) = 0").select("page_id", "url", F.col("article").alias("text"))
-    bare = base.where("not sure and size(loose) > 0")
-    bare = bare.join(text, order, "left")
-    out = plain.unionByName(bare.select("page_id", "url", F.col("_t").alias("text")))
+    gone = near.select("head", shared("hashes", F.transform("near", lambda n: n["hashes"])).alias("gone"))
+    gone = runs.where("open").select(*order, "head").join(gone, "head").select(*order, "gone")
+    left = F.filter("lines", lambda t, i: F.element_at("guard", i + 1) | ~F.array_contains("gone", i))
+    bare = base.where("open").join(gone, order, "left").withColumn("left", left)
+    bare = bare.select("page_id", "url", F.array_join(F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("lines")), "\n").alias("text"))
+    out = base.where("not open").select("page_id", "url", F.array_join("lines", "\n").alias("text")).unionByName(bare)
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -177,6 +177,21 @@ def test_extract(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_extract_runs_and_teasers(spark):
+    """Runs of equal pages have the nearest different pages as neighbours; an article protects only where it holds most of the text."""
+    div = lambda *lines: "".join(f"<div>{x}</div>" for x in lines)
+    rows = [(i, f"http://h.org/a/{i:03}", div("Top", "same text", "End")) for i in range(10, 60)]
+    rows += [(1, "http://h.org/a/001", div("Top", "first", "End")), (90, "http://h.org/a/090", div("Top", "last", "End")), (91, "http://i.org/1", div("Top", "End"))]
+    teaser = "<article>See also</article>"
+    rows += [(200 + i, f"http://t.org/{i}", teaser + div("Top", f"the body of page {i}", "End")) for i in range(3)]
+    rows += [(300 + i, f"http://u.org/{i}", div("Top", f"by {i}") + "<article>a long text that all pages share</article>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    want = {i: "same text" for i in range(10, 60)} | {1: "first", 90: "last", 91: "Top\nEnd"}
+    want |= {200 + i: f"the body of page {i}" for i in range(3)} | {300 + i: f"by {i}\na long text that all pages share" for i in range(2)}
+    assert got == want
+
+
 def test_language(spark):
     rng = random.Random(8)
     parts = {"aa": "the and ing er on th".split(), "bb": "que les eau é oi tion".split(), "cc": "sch ung ß ü ver ich".split()}
