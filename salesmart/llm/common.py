@@ -28,11 +28,13 @@ def ship(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The setting is read from the session. Only where it is unset (tests on one machine) a temporary
-    folder takes its place.
+    The setting is read from the session. Only on one machine (a local master, as in tests) a temporary
+    folder takes its place where it is unset; a cluster without it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='salesmart-')}"
     return f"{base.rstrip('/')}/salesmart-{uuid.uuid4().hex}"
 
@@ -48,6 +50,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty() -> F.Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
@@ -57,21 +71,22 @@ def dense_rank_salted(df: DataFrame, keys: list[str], order: list[str], out: str
 
     Rows are numbered inside (key, salt), the salt being a hash of the ordering columns, and each salt
     starts where the one before it ends. The order is fixed by salt, then by ``order``. There are 256
-    salts, or as many as shuffle partitions if that is more.
+    salts, or as many as shuffle partitions if that is more. ``out`` must be a free name.
     """
     salts = salts or max(256, partitions(df.sparkSession))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    numbered = salted.withColumn("_own", F.row_number().over(own) - 1)
-    on = [numbered[k].eqNullSafe(starts[k]) for k in [*keys, "_salt"]]
+    salt, size, start, mine = free(df, "_salt", "_n", "_start", "_own")
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy(*keys, salt).agg(F.count(F.lit(1)).alias(size))
+    before = Window.partitionBy(*keys).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, salt, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start))
+    own = Window.partitionBy(*keys, salt).orderBy(*order)
+    numbered = salted.withColumn(mine, F.row_number().over(own) - 1)
+    on = [numbered[k].eqNullSafe(starts[k]) for k in [*keys, salt]]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
     return numbered.join(starts, cond, "inner").select(
-        *[numbered[c] for c in df.columns], (numbered["_own"] + starts["_start"]).cast("long").alias(out)
+        *[numbered[c] for c in df.columns], (numbered[mine] + starts[start]).cast("long").alias(out)
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import free, materialise
 
 #: Words of a shingle and the share of an item's shingles that a document must hold.
 WORDS, THRESHOLD = 5, 0.8
@@ -86,6 +86,11 @@ def verify(found: DataFrame, probe: DataFrame, items: DataFrame, threshold: floa
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    hit = contained(docs.select("doc_id", "text"), benchmark, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the rows whose document holds a benchmark item; all columns stay, whatever their names.
+
+    Documents are told apart by doc_id: repeated rows go or stay together, null ids are one document. Null
+    and empty texts stay; an empty table stays empty.
+    """
+    (name,) = free(docs, "_hit")
+    hit = contained(docs.select("doc_id", "text"), benchmark, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

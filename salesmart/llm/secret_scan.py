@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, text_or_empty
+from .common import free, materialise, text_or_empty
 
 # The patterns of the base kinds and of the parts that are linked.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -142,16 +142,18 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask`` and ``n_chars`` set anew.
 
     Overlapping spans become one mask. Texts without a find stay as they are, nulls too; only texts
-    with a find are shuffled, to meet their spans.
+    with a find are shuffled, to meet their spans. All columns stay, whatever their names; an empty table
+    stays empty, and repeated rows are masked each.
     """
+    d, k, s = free(docs, "_d", "_k", "_s")
     found = scan(docs.select("doc_id", "text")).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_s")).distinct()
+    found = found.select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(s)).distinct()
     clean, dirty = docs.where(~has_hit()), docs.where(has_hit())
-    dirty = dirty.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
+    dirty = dirty.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k)), "left")
 
     def masked(chunk: F.Column, number: F.Column) -> F.Column:
         first = number.cast("bigint") * CHUNK
-        mine = F.filter("_s", lambda s: (s["start"] < first + CHUNK) & (s["end"] > first))
+        mine = F.filter(s, lambda x: (x["start"] < first + CHUNK) & (x["end"] > first))
         return F.aggregate(
             mine,
             F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
@@ -169,7 +171,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     # texts are masked chunk by chunk, since reaching a place in a string takes the longer the further it is
     chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
     whole = F.array_join(F.transform(chunks, masked), "")
-    dirty = dirty.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(whole))
+    dirty = dirty.withColumn("text", F.when(F.col(s).isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
         dirty = dirty.withColumn("n_chars", F.length("text").cast("long"))
     return clean.unionByName(dirty.select(*docs.columns))
