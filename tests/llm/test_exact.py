@@ -244,6 +244,10 @@ def test_contained(spark, docs):
                 want[d, i] = (len(s), n)
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in decontaminate.contained(df, bench).collect()}
     assert got == want and want
+    items_ = decontaminate.item_shingles(bench)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.candidates(df, items_).collect()}
+    assert set(want) <= found and len(found) < len(rows) * 5  # recall 1, and not all pairs
+    assert items_.where("sketched").count() < items_.count()
     left = {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
     assert left == {r[0] for r in rows} - {d for d, _ in want}
     assert decontaminate.contained(df, bench.where("item_id = 3")).count() == 0
