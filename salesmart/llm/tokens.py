@@ -65,6 +65,8 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, vocabulary: str = "byte_bpe_50
                 ids = np.append(encode(text), np.uint32(END))
                 for k, (start, length) in enumerate(cuts(len(ids), size)):
                     own = ids[start : start + length].astype("<u4")
+                    if payload and len(own) and own.max() > 65_535:
+                        raise ValueError(f"{vocabulary} has ids that 16 bits don't hold")
                     row = (doc if doc == doc else None, k, start, length, zlib.crc32(own.tobytes()))
                     rows.append((*row, packed(own.astype("<u2").tobytes())) if payload else row)
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + payload]).astype({"doc_id": "Int64"})

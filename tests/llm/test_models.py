@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salesmart.llm import chat, html_extract, langid, order_minhash, packing, token_shards
 from salesmart.llm.tokens import cuts, encoder
@@ -278,11 +279,17 @@ def test_shards(spark, tmp_path):
     docs = documents(6)
     df = spark.createDataFrame(docs, SCHEMA)
     path = f"file://{tmp_path}/shards"
-    n = token_shards.write_shards(df, path, stride=64, shard=32)
+    n = token_shards.write_shards(df, path, stride=64, shard=32, width=2)
     rows = sorted(token_shards.read_shards(spark, path).collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(n)) and all(r.shard == r.slot // 32 for r in rows)
-    later = token_shards.read_shards(spark, path, n // 2)
+    later = token_shards.read_shards(spark, path, n // 2, shard=32, width=2)
     assert sorted(r.slot for r in later.collect()) == list(range(n // 2, n)) and "GreaterThanOrEqual(slot" in later._jdf.queryExecution().toString()
+    files = later.select(F.input_file_name().alias("f")).distinct().count()
+    assert files == -(-n // 64) - n // 2 // 64  # one file a range, and only the ranges from the slot on are opened
+    written = spark.read.parquet(path).groupBy(F.input_file_name().alias("f"), "first").agg(F.min("slot").alias("a"), F.max("slot").alias("b")).collect()
+    assert sorted((r.a, r.b) for r in written) == [(k, min(k + 63, n - 1)) for k in range(0, n, 64)] and all(r.first == r.a for r in written)
+    read = list(token_shards.sequences(spark, path, n - 100, 32, 2))
+    assert [k for k, _ in read] == list(range(n - 100, n)) and all(x.tobytes() == bytes(rows[k].ids) for k, x in read)
     ids = {d: np.append(encoder(VOCABULARY)(t or ""), 0) for d, t, *_ in docs}
     back = {d: {} for d in ids}
     for r in rows:
@@ -292,6 +299,6 @@ def test_shards(spark, tmp_path):
     for d, x in ids.items():
         assert np.concatenate([back[d][k] for k in sorted(back[d])]).tolist() == x.tolist()
     again = f"file://{tmp_path}/again"
-    token_shards.write_shards(df, again, stride=64, shard=32)
+    token_shards.write_shards(df.repartition(7, "text"), again, stride=64, shard=32)  # another layout, the same order
     assert token_shards.read_shards(spark, again).exceptAll(token_shards.read_shards(spark, path)).count() == 0
     assert token_shards.write_shards(spark.createDataFrame([], EMPTY), f"file://{tmp_path}/none") == 0
