@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.parsing import blank, parse_invoice_ts, parse_price, parse_quantity
+from ..functions.parsing import blank, parse_invoice_ts, parse_price, parse_quantity, ratio
 
 VALUE = "decimal(38,6)"
 BLOCK, WARN = "BLOCK", "WARN"
@@ -150,28 +150,29 @@ def result_quality_rules(dwd, customer_value, summary, contribution, distributio
 
 def star_quality_rules(dwd, history, product, geo, date, fact, star_dws) -> DataFrame:
     """Eighteen rules on the star schema."""
-    def doubled(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias(name))
-
     before = Window.partitionBy("customerid").orderBy("start_date", "user_id").rowsBetween(Window.unboundedPreceding, -1)
     overlap = history.withColumn("_e", F.max("end_date").over(before)).agg(_counted(F.col("_e") >= F.col("start_date"), "overlap"))
     user = history.agg(F.count(F.lit(1)).alias("n_user"), _counted(F.col("start_date") > F.col("end_date"), "bad_range"), _counted(F.col("is_current") & (F.col("end_date") != F.to_date(F.lit("9999-12-31"))), "bad_end"))
     current = history.groupBy("customerid").agg(F.count_if("is_current").alias("_n")).agg(_counted(F.col("_n") != 1, "not_one"))
     null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("user_id", "product_id", "date_id", "geo_id")])
-    facts = fact.agg(F.count(F.lit(1)).alias("n_fact"), F.sum("amount").cast("decimal(28,2)").alias("s_fact"), _counted(null_key, "null_key"), _counted(~F.col("date_id").cast("string").eqNullSafe(F.col("dt")), "bad_date"))
+    keys = {"product": (product, "product_id"), "geo": (geo, "geo_id"), "date": (date, "date_id")}
+    counted = {n: df.groupBy("dt", k).agg(F.count(F.lit(1)).alias("_n")) for n, (df, k) in keys.items()}
+    versions = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    # one pass over the facts, each dimension's keys beside it: a key that isn't there leaves no count
+    seen = fact.join(versions.select("user_id", F.col("_n").alias("_user")), "user_id", "left")
+    for n, (_, k) in keys.items():
+        seen = seen.join(counted[n].select("dt", k, F.col("_n").alias(f"_{n}")), ["dt", k], "left")
+    orphan = sum((F.count_if(F.col(f"_{n}").isNull()) for n in keys), F.count_if(F.col("_user").isNull()))
+    facts = seen.agg(F.count(F.lit(1)).alias("n_fact"), F.sum("amount").cast("decimal(28,2)").alias("s_fact"), _counted(null_key, "null_key"), _counted(~F.col("date_id").cast("string").eqNullSafe(F.col("dt")), "bad_date"), orphan.alias("orphans"))
     lines = dwd.agg(F.count(F.lit(1)).alias("n_dwd"), F.sum("amount").cast("decimal(28,2)").alias("s_dwd"))
-    orphans = reduce(lambda a, b: a.unionByName(b), [
-        fact.select("user_id").join(history.select("user_id"), "user_id", "left_anti").select(F.lit(1).alias("x")),
-        fact.select("product_id", "dt").join(product.select("product_id", "dt"), ["product_id", "dt"], "left_anti").select(F.lit(1).alias("x")),
-        fact.select("date_id", "dt").join(date.select("date_id", "dt"), ["date_id", "dt"], "left_anti").select(F.lit(1).alias("x")),
-        fact.select("geo_id", "dt").join(geo.select("geo_id", "dt"), ["geo_id", "dt"], "left_anti").select(F.lit(1).alias("x")),
-    ]).agg(F.count(F.lit(1)).alias("orphans"))
     day = F.to_date("dt")
     per_day = dwd.select("customerid", "dt").groupBy("customerid", "dt").agg(F.count(F.lit(1)).alias("_w"))
     match = per_day.join(history.select("customerid", "start_date", "end_date"), "customerid", "left").groupBy("customerid", "dt").agg(F.first("_w").alias("_w"), F.count_if(day.between(F.col("start_date"), F.col("end_date"))).alias("_m"))
     match = match.agg(F.coalesce(F.sum(F.when(F.col("_m") != 1, F.col("_w"))), F.lit(0)).alias("unmatched"))
     mart = star_dws.agg(F.sum("total_amount").cast("decimal(28,2)").alias("s_star"))
-    f = _cross(user, current, overlap, facts, lines, mart, orphans, match, doubled(product, ["dt", "product_id"], "d_product"), doubled(geo, ["dt", "geo_id"], "d_geo"), doubled(date, ["dt", "date_id"], "d_date"), doubled(fact, ["order_line_id"], "d_line"), doubled(history, ["user_id"], "d_user"))
+    twice = [df.agg(_counted(F.col("_n") > 1, f"d_{n}")) for n, df in [*counted.items(), ("user", versions)]]
+    line = fact.groupBy("order_line_id").agg(F.count(F.lit(1)).alias("_n")).agg(_counted(F.col("_n") > 1, "d_line"))
+    f = _cross(user, current, overlap, facts, lines, mart, match, *twice, line)
     return gate(f, [
         _filled("STAR_001", "dim_user", "n_user"), _zero("STAR_002", "dim_user", "one_current", "not_one", "customers without exactly one current version"),
         _zero("STAR_003", "dim_user", "valid_range", "bad_range", "versions that end before they start"), _zero("STAR_004", "dim_user", "current_open", "bad_end", "current versions that aren't open"),
@@ -215,13 +216,29 @@ def result_sanity_checks(dwd, customer_value, contribution, distribution, rank,
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def dim_conflict_audit(dwd: DataFrame) -> DataFrame:
-    """Products with several descriptions and customers with several countries: counts, greatest, total of value counts."""
-    def one(name: str, key: str, value: str) -> DataFrame:
-        g = dwd.where(~blank(key) & ~blank(value)).groupBy(key).agg(F.count_distinct(value).alias("n"))
-        return g.agg(F.lit(name).alias("audit"), F.count(F.lit(1)).alias("key_cnt"), F.count_if(F.col("n") > 1).alias("conflict_cnt"), F.max(F.when(F.col("n") > 1, F.col("n"))).alias("max_values"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("sum_values"))
+def dim_conflict_audit(dwd: DataFrame, product: DataFrame, history: DataFrame) -> DataFrame:
+    """Products with several descriptions, customers with several countries, and totals of lines and dimensions.
 
-    return one("product_description", "stockcode", "description").unionByName(one("customer_country", "customerid", "country"))
+    Long form: table_name, check_item, metric, value. Averages are over the keys in conflict, half up.
+    """
+    def long(df: DataFrame, table: str, item: str, **metrics: Column) -> DataFrame:
+        row = df.agg(*[c.cast("decimal(18,2)").alias(n) for n, c in metrics.items()])
+        parts = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics])
+        return row.select(F.lit(table).alias("table_name"), F.lit(item).alias("check_item"), F.explode(parts).alias("x")).select("table_name", "check_item", "x.*")
+
+    def conflicts(table: str, item: str, key: str, value: str) -> DataFrame:
+        g = dwd.where(~blank(key) & ~blank(value)).groupBy(key).agg(F.count_distinct(value).alias("n")).where("n > 1")
+        return long(g, table, item, conflict_keys=F.count(F.lit(1)), max_values=F.max("n"), avg_values=ratio(F.sum("n"), F.count(F.lit(1))))
+
+    rows, several = F.count(F.lit(1)), F.count_distinct
+    parts = [
+        conflicts("dwd_product", "multi_description_per_stockcode", "stockcode", "description"), conflicts("dwd_user", "multi_country_per_customer", "customerid", "country"),
+        long(dwd.where(~blank("stockcode")), "dwd_product", "summary", total_rows=rows, unique_stockcodes=several("stockcode"), unique_descriptions=several("description")),
+        long(dwd.where(~blank("customerid")), "dwd_user", "summary", total_rows=rows, unique_customers=several("customerid"), unique_countries=several("country")),
+        long(product, "dim_product", "summary", total_rows=rows, unique_stockcodes=several("stockcode"), unique_descriptions=several("description")),
+        long(history, "dim_user", "summary", total_versions=rows, current_versions=F.count_if("is_current"), unique_customers=several("customerid"), unique_countries=several("country")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def dim_conflict_samples(dwd: DataFrame, key: str, value: str, n: int = 20) -> DataFrame:
@@ -250,27 +267,62 @@ def dwd_full_validation(dwd: DataFrame, derived: DataFrame, start_dt: str, end_d
     return _cross(d, e).withColumn("is_pass", F.expr("dwd_rows = expected_rows and dwd_dates = expected_dates and dwd_amount = expected_amount and outside_cnt = 0 and unnormalised_cnt = 0 and amount_error_cnt = 0"))
 
 
-#: Marts of range validation, and the column that adds up to the lines' sales, where there is one.
-RANGE_MARTS = {"dws_customer_value": "total_spent", "dws_sales_summary": "total_sales", "ads_high_value_contribution": "total_sales", "ads_level_distribution": "total_spent", "ads_country_rank": "total_sales", "ads_high_value_preference": None}
+#: Marts of range validation: keys, and the column that adds up to the lines' sales, where there is one.
+RANGE_MARTS = {
+    "dws_customer_value": (["dt", "customerid"], "total_spent"), "dws_sales_summary": (["dt", "country"], "total_sales"), "ads_high_value_contribution": (["dt"], "total_sales"),
+    "ads_level_distribution": (["dt", "customer_level"], "total_spent"), "ads_country_rank": (["dt", "country"], "total_sales"), "ads_high_value_preference": (["dt", "stockcode"], None),
+}
+#: Percentages of a mart: those of each row that must lie in 0 to 100, and those that must add up to 100 a date.
+RANGE_SHARES = {"ads_high_value_contribution": ("sales_contribution_pct", None), "ads_level_distribution": (None, "customer_cnt_pct")}
 
 
 def mart_range_validation(dwd: DataFrame, marts: dict[str, DataFrame]) -> DataFrame:
-    """Every mart over a range: rows, dates, missing dates, sales and doubled keys, with a level and a status."""
-    days = dwd.groupBy("dt").agg(F.sum("amount").cast("decimal(28,2)").alias("_s"))
-    total = days.agg(F.sum("_s").cast("decimal(28,2)").alias("dwd_sales"))
-    keys = {"dws_customer_value": ["dt", "customerid"], "dws_sales_summary": ["dt", "country"], "ads_high_value_contribution": ["dt"], "ads_level_distribution": ["dt", "customer_level"], "ads_country_rank": ["dt", "country"], "ads_high_value_preference": ["dt", "stockcode"]}
-    parts = []
-    for name, value in RANGE_MARTS.items():
-        m = marts[name]
-        s = F.sum(F.col(value)).cast("decimal(28,2)") if value else F.lit(None).cast("decimal(28,2)")
-        a = m.agg(F.count(F.lit(1)).alias("row_cnt"), F.count_distinct("dt").alias("date_cnt"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), s.alias("total_sales"))
-        missing = days.join(m.select("dt").distinct(), "dt", "left_anti").agg(F.count(F.lit(1)).alias("missing_dates"))
-        twice = m.groupBy(*keys[name]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("doubled_keys"))
-        lvl = WARN if value is None else BLOCK
-        parts.append(_cross(a, missing, twice, total).select(F.lit(name).alias("table_name"), F.lit(lvl).alias("check_level"), "row_cnt", "date_cnt", "min_dt", "max_dt", "total_sales", "dwd_sales", "missing_dates", "doubled_keys"))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    fine = (F.col("row_cnt") > 0) & (F.col("missing_dates") == 0) & (F.col("doubled_keys") == 0) & (F.col("total_sales").isNull() | (F.abs(F.col("total_sales") - F.col("dwd_sales")) <= 0.01))
-    return out.withColumn("check_status", F.when(fine, "PASS").otherwise("FAIL"))
+    """Gates over a range of dates: table_name, check_item, check_level, actual_value, expected_value, check_status.
+
+    Lines and five marts must have rows; those marts must have as many dates as the lines and lack none of
+    them, the preference mart is only warned of missing dates. Sales must agree with the lines', keys must be
+    single, and shares must lie in range and add up. Every mart is read once, and combined by date.
+    """
+    number = "decimal(28,2)"
+    base = dwd.groupBy("dt").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast(number).alias("sales"))
+    none = F.lit(None).cast(number)
+    parts = [base.select(F.lit("dwd_retail_clean").alias("table_name"), "dt", "rows", "sales", F.lit(0).cast("long").alias("doubled"), F.lit(0).cast("long").alias("off_row"), none.alias("shares"))]
+    for name, (keys, value) in RANGE_MARTS.items():
+        row, total = RANGE_SHARES.get(name, (None, None))
+        off = F.count_if(F.col(row).isNull() | ~F.col(row).between(0, 100)) if row else F.lit(0).cast("long")
+        g = marts[name].groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.sum(value).cast(number) if value else none).alias("_v"), off.alias("_o"), (F.sum(total).cast(number) if total else none).alias("_p"))
+        parts.append(g.groupBy("dt").agg(F.sum("_n").alias("rows"), F.sum("_v").cast(number).alias("sales"), F.count_if(F.col("_n") > 1).alias("doubled"), F.sum("_o").alias("off_row"), F.sum("_p").cast(number).alias("shares")).select(F.lit(name).alias("table_name"), "dt", "rows", "sales", "doubled", "off_row", "shares"))
+    by_date = reduce(lambda a, b: a.unionByName(b), parts)
+    # a date's rows of all tables meet, so that what a mart lacks is seen beside the lines
+    tables = ["dwd_retail_clean", *RANGE_MARTS]
+    met = by_date.groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("table_name", F.struct("rows", "sales", "doubled", "off_row", "shares")))).alias("m"))
+    x = lambda n: F.col("m")[n]
+    figures = [
+        F.struct(
+            F.lit(n).alias("t"), F.coalesce(F.sum(x(n)["rows"]), F.lit(0)).alias("rows"), F.count_if(x(n).isNotNull()).alias("dates"), F.count_if(x("dwd_retail_clean").isNotNull() & x(n).isNull()).alias("missing"),
+            F.coalesce(F.sum(x(n)["sales"]), F.lit(0)).cast(number).alias("sales"), F.coalesce(F.sum(x(n)["doubled"]), F.lit(0)).alias("doubled"), F.coalesce(F.sum(x(n)["off_row"]), F.lit(0)).alias("off_row"),
+            F.count_if(F.abs(x(n)["shares"] - 100) > 0.05).alias("off_date"),
+        ).alias(f"f{i}")
+        for i, n in enumerate(tables)
+    ]
+    one = met.agg(*figures)
+
+    def check(i: int, item: str, lvl: str, actual: str, expected: Column, passes) -> Column:
+        a = F.col(f"f{i}")[actual].cast(number)
+        e = expected.cast(number)
+        return F.struct(F.lit(tables[i]).alias("table_name"), F.lit(item).alias("check_item"), F.lit(lvl).alias("check_level"), a.alias("actual_value"), e.alias("expected_value"), F.when(passes(a, e), "PASS").otherwise("FAIL").alias("check_status"))
+
+    some, equal, near = (lambda a, e: a >= e), (lambda a, e: a == e), (lambda a, e: F.abs(a - e) <= 0.01)
+    zero, lines = F.lit(0), F.col("f0")
+    checks = [check(0, "non_empty", BLOCK, "rows", F.lit(1), some)]
+    for i, (name, (_, value)) in enumerate(RANGE_MARTS.items(), 1):
+        lvl = BLOCK if value else WARN
+        row, total = RANGE_SHARES.get(name, (None, None))
+        checks += [check(i, "non_empty", lvl, "rows", F.lit(1), some), check(i, "date_count", lvl, "dates", lines["dates"], equal), check(i, "missing_dates", lvl, "missing", zero, equal), check(i, "doubled_keys", BLOCK, "doubled", zero, equal)]
+        checks += [check(i, "sales_match_lines", BLOCK, "sales", lines["sales"], near)] if value else []
+        checks += [check(i, "share_in_range", BLOCK, "off_row", zero, equal)] if row else []
+        checks += [check(i, "shares_add_up", BLOCK, "off_date", zero, equal)] if total else []
+    return one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
 
 
 def alltime_quality_rules(clean: DataFrame, results: dict[str, DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import analytics as A, layers as L, marts as M, quality as Q, serving as V, star as S
 from ..sources import retail as R
+from ..sources import sinks
 from ..sources.sinks import scratch, stored
 from . import oracle
 
@@ -23,8 +24,9 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 class Context:
     """The layers over one folder of tables.
 
-    Landed, typed and clean records are stored tables, as in a warehouse: written when first asked for,
-    read by everything above. Marts and dimensions are lazy DataFrames over them.
+    Landed, typed and clean records, the customers' daily value, the dimensions and the facts are stored
+    tables, as in a warehouse: written when first asked for, read by everything above. The other marts are
+    lazy DataFrames over them, and the query of a stored table computes it anew from the tables below it.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -53,7 +55,7 @@ class Context:
     reject = cached_property(lambda t: L.ods_reject(t.raw, BATCH))
     dwd = cached_property(lambda t: t.layer("dwd", lambda: L.dwd_clean(t.ods)))
     simple = cached_property(lambda t: t.layer("simple", lambda: L.clean_simple(t.ods)))
-    value = cached_property(lambda t: M.dws_customer_value(t.dwd))
+    value = cached_property(lambda t: t.layer("value", lambda: M.dws_customer_value(t.dwd)))
     summary = cached_property(lambda t: M.dws_sales_summary(t.dwd))
     contribution = cached_property(lambda t: M.ads_high_value_contribution(t.dwd, t.value))
     distribution = cached_property(lambda t: M.ads_level_distribution(t.value))
@@ -62,11 +64,11 @@ class Context:
     overview = cached_property(lambda t: M.ads_sales_overview(t.dwd))
     anomaly = cached_property(lambda t: M.ads_sales_anomaly(t.overview))
     daily = cached_property(lambda t: S.daily_customer_country(t.dwd))
-    history = cached_property(lambda t: S.scd2_history(t.daily))
-    product = cached_property(lambda t: S.dim_product(t.dwd))
-    geo = cached_property(lambda t: S.dim_geo(t.dwd))
-    date = cached_property(lambda t: S.dim_date(t.dwd))
-    fact = cached_property(lambda t: S.fact_order(t.dwd, t.history, t.product, t.date, t.geo))
+    history = cached_property(lambda t: t.layer("history", lambda: S.scd2_history(t.daily)))
+    product = cached_property(lambda t: t.layer("product", lambda: S.dim_product(t.dwd)))
+    geo = cached_property(lambda t: t.layer("geo", lambda: S.dim_geo(t.dwd)))
+    date = cached_property(lambda t: t.layer("date", lambda: S.dim_date(t.dwd)))
+    fact = cached_property(lambda t: t.layer("fact", lambda: S.fact_order(t.dwd, t.history, t.product, t.date, t.geo)))
     star = cached_property(lambda t: M.dws_customer_value_star(t.fact))
     serving = cached_property(lambda t: t.overview.withColumn("source_system", oracle.source_of("dt")))
     anomaly_serving = cached_property(lambda t: t.anomaly.withColumn("source_system", oracle.source_of("dt")))
@@ -106,6 +108,26 @@ def _log(t: Context) -> DataFrame:
     return days.select(F.col("dt").alias("batch_id"), F.explode(status).alias("status"))
 
 
+#: Fields of the clean lines' sample report.
+_FIELDS = ("invoice", "stockcode", "description", "customerid", "country", "quantity", "amount")
+
+
+def _rewritten(t: Context, sink: str) -> DataFrame:
+    """The daily sales summary written by month (as dt) and rewritten in part by a sink, as read back."""
+    path = scratch(t.spark)
+    base = stored(t.summary.withColumnRenamed("dt", "day").withColumn("dt", F.concat(F.substring("day", 1, 7), F.lit("-01"))))
+    month = f"{DAY[:7]}-01"
+    raised = base.withColumn("total_sales", (F.col("total_sales") + 1).cast("decimal(14,2)"))
+    sinks.overwrite_dynamic(base, path)
+    if sink == "partition":
+        sinks.overwrite_partition(raised.where(F.col("dt") == month), path, month)
+    elif sink == "dynamic":
+        sinks.overwrite_dynamic(raised.where(F.col("dt") >= START), path)
+    else:  # months in the range that the new rows lack go
+        sinks.overwrite_range(raised.where("not dt like '%5-01'"), path, START, END, "total_sales")
+    return t.spark.read.schema(base.schema).parquet(path)
+
+
 def _guard(t: Context) -> DataFrame:
     dates = t.dwd.select("dt").distinct()
     out = None
@@ -129,11 +151,11 @@ _QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "t1_window": lambda t: L.t1_window(t.dwd, DAY),
     "bi_export_long": lambda t: M.bi_export_long(t.contribution, t.distribution, t.rank),
     "serving_upsert": _upsert,
-    "replicate_dataset": lambda t: R.replicate_dataset(t.retail.where("invoicedate like '____-__-__ __:__:__'"), 3, 2, trim=True, lineage=True),
+    "replicate_dataset": lambda t: R.replicate_dataset(t.retail.where(L.parse_invoice_ts("invoicedate").isNotNull()), 2, 1),
     "replicate_dataset_unshifted": lambda t: R.replicate_dataset(t.retail, 3, trim=True, lineage=True),
     "replicate_dataset_parseable": lambda t: R.replicate_dataset(t.retail.where(L.parse_invoice_ts("invoicedate").isNotNull()), 3, 2, trim=True, lineage=True),
     "dataset_profile": lambda t: R.dataset_profile(t.retail),
-    "dws_customer_value": lambda t: t.value,
+    "dws_customer_value": lambda t: M.dws_customer_value(t.dwd),
     "dws_sales_summary": lambda t: t.summary,
     "dws_sales_summary_salted": lambda t: M.dws_sales_summary(t.dwd, salts=20),
     "ads_high_value_contribution": lambda t: t.contribution,
@@ -145,24 +167,30 @@ _QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "dws_customer_value_star": lambda t: t.star,
     "order_frequency": lambda t: A.order_frequency(A.customer_order_stats(t.simple)),
     "daily_customer_country": lambda t: t.daily,
-    "scd2_history": lambda t: t.history,
+    "scd2_history": lambda t: S.scd2_history(t.daily),
     "scd2_snapshot": lambda t: S.scd2_snapshot(t.history, DAY),
     "scd2_append_guard": _guard,
     "star_partition_state": lambda t: S.star_partition_state({"dim_product": t.product, "dim_geo": t.geo, "dim_date": t.date}, t.dwd.select("dt"), START),
-    "dim_product": lambda t: t.product,
-    "dim_geo": lambda t: t.geo,
-    "dim_date": lambda t: t.date,
-    "fact_order": lambda t: t.fact,
+    "dim_product": lambda t: S.dim_product(t.dwd),
+    "dim_geo": lambda t: S.dim_geo(t.dwd),
+    "dim_date": lambda t: S.dim_date(t.dwd),
+    "fact_order": lambda t: S.fact_order(t.dwd, t.history, t.product, t.date, t.geo),
+    "overwrite_partition": lambda t: _rewritten(t, "partition"),
+    "overwrite_dynamic": lambda t: _rewritten(t, "dynamic"),
+    "overwrite_range": lambda t: _rewritten(t, "range"),
     "ods_ingestion_balance": lambda t: Q.ods_ingestion_balance(t.retail, t.raw, t.ods, t.reject, DAY),
     "ods_batch_check": lambda t: Q.ods_batch_check(t.raw, t.reject, t.ods, oracle.EXPECTED_RAW, oracle.FIRST_DAY, oracle.LAST_DAY),
     "ods_content_profile": lambda t: Q.ods_content_profile(t.ods, t.reject),
+    "ods_content_sample": lambda t: R.sample_rows(t.ods.where(F.col("dt") == DAY), *R.COLUMNS),
+    "dwd_normalization_sample": lambda t: R.sample_rows(t.dwd.where(F.col("dt") == DAY).select(*_FIELDS), *_FIELDS, n=10),
     "dwd_quality_rules": lambda t: Q.dwd_quality_rules(t.dwd, t.ods),
     "result_quality_rules": lambda t: Q.result_quality_rules(t.dwd, t.value, t.summary, t.contribution, t.distribution, t.rank, t.preference),
     "star_quality_rules": lambda t: t.star_rules,
     "quality_gate_summary": lambda t: Q.quality_gate_summary(Q.dwd_quality_rules(t.dwd, t.ods)),
     "layer_row_counts": lambda t: Q.layer_row_counts({"ods_retail": t.ods, "dwd_retail_clean": t.dwd, **t.marts}),
     "result_sanity_checks": lambda t: Q.result_sanity_checks(t.dwd, t.value, t.contribution, t.distribution, t.rank, t.preference),
-    "dim_conflict_audit": lambda t: Q.dim_conflict_audit(t.dwd),
+    "dim_conflict_audit": lambda t: Q.dim_conflict_audit(t.dwd, t.product, t.history),
+    "dim_conflict_samples_customer": lambda t: Q.dim_conflict_samples(t.dwd, "customerid", "country"),
     "dim_conflict_samples": lambda t: Q.dim_conflict_samples(t.dwd, "stockcode", "description"),
     "dwd_normalization_profile": lambda t: Q.dwd_normalization_profile(t.dwd),
     "dwd_full_validation": lambda t: Q.dwd_full_validation(t.dwd, L.dwd_clean(L.ods_typed(t.retail)), oracle.FIRST_DAY, oracle.LAST_DAY),

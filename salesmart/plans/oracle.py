@@ -65,6 +65,8 @@ _P = r"CASE WHEN regexp_full_match(trim(price), '[+-]?[0-9]+(\.[0-9]+)?') THEN T
 _AMOUNT = "CAST(round(quantity::DECIMAL(18,0) * price, 2) AS DECIMAL(12,2))"
 _OK = " AND ".join(["quantity > 0", "price > 0", *[f"coalesce(trim({x}), '') <> ''" for x in ("customerid", "invoice", "stockcode", "country", "invoicedate")], "upper(trim(invoice)) NOT LIKE 'C%'"])
 _S2 = "CAST(sum(amount) AS DECIMAL(18,2))"
+_PRODUCTS = [("total_rows", "count(*)"), ("unique_stockcodes", "count(DISTINCT stockcode)"), ("unique_descriptions", "count(DISTINCT description)")]
+_PEOPLE = [("unique_customers", "count(DISTINCT customerid)"), ("unique_countries", "count(DISTINCT country)")]
 
 V: dict[str, str] = {
     "base": """SELECT l.l_orderkey k, l.l_linenumber::BIGINT ln, l.l_partkey pk, l.l_suppkey sk, l.l_returnflag rf, l.l_quantity::BIGINT qty, round(l.l_extendedprice*100)::BIGINT // l.l_quantity::BIGINT // 40 unit,
@@ -96,8 +98,7 @@ V: dict[str, str] = {
     "business_dates": f"SELECT DISTINCT dt FROM dwd_clean WHERE dt BETWEEN '{START}' AND '{END}'",
     "t1_window": f"SELECT DISTINCT dt FROM dwd_clean WHERE dt IN ('{DAY}', strftime(DATE '{DAY}' - INTERVAL 1 DAY, '%Y-%m-%d'))",
     "dataset_profile": f"SELECT count(*) AS row_count, count(ts) AS parseable, count(*) FILTER (ts IS NULL) AS unparseable, strftime(min(ts), '%Y-%m-%d') AS min_date, strftime(max(ts), '%Y-%m-%d') AS max_date FROM (SELECT {_TS} AS ts FROM retail)",
-    "replicate_dataset": f"""SELECT {', '.join(f'{x}' for x in _TEXTS if x != 'invoicedate')}, strftime({_TS} + to_years(CAST((n - 1) * 2 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS invoicedate, md5(concat_ws('|', {', '.join(f"coalesce({x}, '<NULL>')" for x in _TEXTS)})) AS source_row_id, CAST(n AS INTEGER) AS source_copy_id
-      FROM (SELECT {', '.join(f'trim({x}) AS {x}' for x in _TEXTS)} FROM retail WHERE invoicedate LIKE '____-__-__ __:__:__'), range(1, 4) r(n)""",
+    "replicate_dataset": f"""SELECT {', '.join(f'{x}' for x in _TEXTS if x != 'invoicedate')}, strftime({_TS} + to_years(CAST(n - 1 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS invoicedate FROM retail, range(1, 3) r(n) WHERE {_TS} IS NOT NULL""",
     "replicate_dataset_unshifted": f"""SELECT {', '.join(_TEXTS)}, md5(concat_ws('|', {', '.join(f"coalesce({x}, '<NULL>')" for x in _TEXTS)})) AS source_row_id, CAST(n AS INTEGER) AS source_copy_id
       FROM (SELECT {', '.join(f'trim({x}) AS {x}' for x in _TEXTS)} FROM retail), range(1, 4) r(n)""",
     "replicate_dataset_parseable": f"""SELECT {', '.join(f'{x}' for x in _TEXTS if x != 'invoicedate')}, strftime({_TS} + to_years(CAST((n - 1) * 2 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS invoicedate, md5(concat_ws('|', {', '.join(f"coalesce({x}, '<NULL>')" for x in _TEXTS)})) AS source_row_id, CAST(n AS INTEGER) AS source_copy_id
@@ -123,7 +124,9 @@ V: dict[str, str] = {
       WHEN (s-p)*100 <= -40*p AND p-s >= 2000000 THEN 'MEDIUM' ELSE 'NORMAL' END AS anomaly_level, CASE WHEN pdt IS NULL THEN NULL WHEN (o-q)*o*p <= (s*q-p*o)*q THEN 'ORDERS' ELSE 'AVG_ORDER_VALUE' END AS primary_driver, dt FROM fractions""",
     "bi_export_long": """SELECT dt, 'High Value Sales Contribution Pct' AS metric_name, CAST(max(sales_contribution_pct) AS DECIMAL(18,2)) AS metric_value FROM ads_high_value_contribution GROUP BY dt
       UNION ALL SELECT dt, 'Total Customer Count', CAST(sum(customer_cnt) AS DECIMAL(18,2)) FROM ads_level_distribution GROUP BY dt UNION ALL SELECT dt, 'Total Sales', CAST(sum(total_sales) AS DECIMAL(18,2)) FROM ads_country_rank GROUP BY dt""",
-    "serving_upsert": f"""SELECT * REPLACE (CASE WHEN dt >= '{START}' THEN CAST(total_sales + 1 AS DECIMAL(18,2)) ELSE total_sales END AS total_sales), 'retail_canonical' AS source_system FROM ads_sales_overview""",
+    "target": f"SELECT *, 'retail_canonical' AS source_system FROM ads_sales_overview WHERE dt <= '{END}'",
+    "incoming": f"SELECT * REPLACE (CAST(total_sales + 1 AS DECIMAL(18,2)) AS total_sales), 'retail_canonical' AS source_system FROM ads_sales_overview WHERE dt >= '{START}'",
+    "serving_upsert": "SELECT * FROM incoming UNION ALL SELECT * FROM target WHERE dt NOT IN (SELECT dt FROM incoming)",
     "serving": "SELECT *, CASE WHEN dt LIKE '%4' THEN 'other_source' ELSE 'retail_canonical' END AS source_system FROM ads_sales_overview",
     "overview_by_date": f"SELECT * FROM serving WHERE dt = '{DAY}'",
     "overview_trend": f"SELECT * FROM serving WHERE dt BETWEEN '{DAY[:8]}01' AND '{DAY[:8]}30'",
@@ -186,18 +189,32 @@ V: dict[str, str] = {
     "ods_batch_check": f"""SELECT *, raw_cnt = {EXPECTED_RAW} AS raw_count_pass, reject_cnt = 0 AS reject_count_pass, raw_cnt = ods_cnt + reject_cnt AS balance_pass, min_dt = '{FIRST_DAY}' AS min_date_pass, max_dt = '{LAST_DAY}' AS max_date_pass, outside_cnt = 0 AS date_range_pass FROM (SELECT count(*) AS raw_cnt FROM ods_raw), (SELECT count(*) AS reject_cnt FROM ods_reject),
       (SELECT count(*) AS ods_cnt, min(dt) AS min_dt, max(dt) AS max_dt, count(DISTINCT dt) AS dt_cnt, count(*) FILTER (dt < '{FIRST_DAY}' OR dt > '{LAST_DAY}') AS outside_cnt FROM ods_typed)""",
     "quality_gate_summary": "SELECT count(*) AS rule_cnt, count(DISTINCT rule_code) AS distinct_rule_cnt, count(*) FILTER (check_level = 'BLOCK' AND check_status = 'PASS') AS block_pass_cnt, count(*) FILTER (check_level = 'BLOCK' AND check_status = 'FAIL') AS block_fail_cnt, count(*) FILTER (check_level = 'WARN' AND check_status = 'FAIL') AS warn_cnt FROM dwd_quality_rules",
-    "dim_conflict_audit": " UNION ALL ".join(f"SELECT '{n}' AS audit, count(*) AS key_cnt, count(*) FILTER (n > 1) AS conflict_cnt, max(n) FILTER (n > 1) AS max_values, CAST(sum(n) FILTER (n > 1) AS BIGINT) AS sum_values FROM (SELECT {k}, count(DISTINCT {v}) n FROM dwd_clean WHERE coalesce(trim({k}), '') <> '' AND coalesce(trim({v}), '') <> '' GROUP BY 1)" for n, k, v in (("product_description", "stockcode", "description"), ("customer_country", "customerid", "country"))),
+    "dim_conflict_audit": " UNION ALL ".join(
+        [f"SELECT '{t}' AS table_name, '{i}' AS check_item, unnest(['conflict_keys', 'max_values', 'avg_values']) AS metric, unnest([count(*)::DECIMAL(18,2), max(n)::DECIMAL(18,2), {q('sum(n)*100', 'count(*)')}]) AS value FROM (SELECT {k}, count(DISTINCT {v}) n FROM dwd_clean WHERE coalesce(trim({k}), '') <> '' AND coalesce(trim({v}), '') <> '' GROUP BY 1 HAVING count(DISTINCT {v}) > 1)"
+         for t, i, k, v in (("dwd_product", "multi_description_per_stockcode", "stockcode", "description"), ("dwd_user", "multi_country_per_customer", "customerid", "country"))]
+        + [f"SELECT '{t}', 'summary', unnest([{', '.join(repr(m) for m, _ in ms)}]), unnest([{', '.join(f'({x})::DECIMAL(18,2)' for _, x in ms)}]) FROM {of}"
+           for t, of, ms in (("dwd_product", "dwd_clean WHERE coalesce(trim(stockcode), '') <> ''", _PRODUCTS), ("dwd_user", "dwd_clean WHERE coalesce(trim(customerid), '') <> ''", [("total_rows", "count(*)"), *_PEOPLE]), ("dim_product", "dim_product", _PRODUCTS),
+                             ("dim_user", "scd2_history", [("total_versions", "count(*)"), ("current_versions", "count(*) FILTER (is_current)"), *_PEOPLE]))]),
+    "dim_conflict_samples_customer": "SELECT customerid, string_agg(DISTINCT country, '|' ORDER BY country) AS conflicting_values, count(DISTINCT country) AS value_cnt FROM dwd_clean WHERE coalesce(trim(country), '') <> '' AND coalesce(trim(customerid), '') <> '' GROUP BY 1 HAVING count(DISTINCT country) > 1 ORDER BY value_cnt DESC, customerid LIMIT 20",
     "dim_conflict_samples": "SELECT stockcode, string_agg(DISTINCT description, '|' ORDER BY description) AS conflicting_values, count(DISTINCT description) AS value_cnt FROM dwd_clean WHERE coalesce(trim(description), '') <> '' AND coalesce(trim(stockcode), '') <> '' GROUP BY 1 HAVING count(DISTINCT description) > 1 ORDER BY value_cnt DESC, stockcode LIMIT 20",
     "dwd_normalization_profile": f"""SELECT count(*) AS row_count, count(DISTINCT invoice) AS distinct_invoices, count(DISTINCT customerid) AS distinct_customers, count(DISTINCT stockcode) AS distinct_products, CAST(sum(quantity) AS BIGINT) AS total_quantity, CAST(sum(amount) AS DECIMAL(28,2)) AS total_amount,
       {', '.join(f'count(*) FILTER ({x} <> trim({x})) AS {x}_with_whitespace' for x in ('invoice', 'stockcode', 'description', 'country', 'customerid'))}, count(*) FILTER (regexp_matches(customerid, '\\.0$')) AS customerid_dot_zero,
       count(*) FILTER (regexp_matches(customerid, '^[0-9]+$')) AS numeric_customerid, count(*) FILTER (NOT regexp_matches(customerid, '^[0-9]+$')) AS other_customerid, count(*) FILTER (stockcode = upper(stockcode)) AS upper_stockcode FROM dwd_clean""",
-    "dwd_full_validation": f"""SELECT *, true AS is_pass FROM (SELECT count(*) AS dwd_rows, count(DISTINCT dt) AS dwd_dates, CAST(sum(amount) AS DECIMAL(28,2)) AS dwd_amount, count(*) FILTER (NOT dt BETWEEN '{FIRST_DAY}' AND '{LAST_DAY}') AS outside_cnt, count(*) FILTER (customerid LIKE '%.0' OR invoice LIKE ' %') AS unnormalised_cnt, count(*) FILTER (amount <> quantity * price) AS amount_error_cnt FROM dwd_clean),
+    "dwd_full_validation": f"""SELECT *, dwd_rows = expected_rows AND dwd_dates = expected_dates AND dwd_amount = expected_amount AND outside_cnt = 0 AND unnormalised_cnt = 0 AND amount_error_cnt = 0 AS is_pass FROM (SELECT count(*) AS dwd_rows, count(DISTINCT dt) AS dwd_dates, CAST(sum(amount) AS DECIMAL(28,2)) AS dwd_amount, count(*) FILTER (NOT dt BETWEEN '{FIRST_DAY}' AND '{LAST_DAY}') AS outside_cnt, count(*) FILTER (customerid SIMILAR TO '[0-9]+\\.0' OR invoice <> trim(invoice) OR stockcode <> upper(trim(stockcode))) AS unnormalised_cnt, count(*) FILTER (amount <> round(quantity::DECIMAL(18,0) * price, 2)) AS amount_error_cnt FROM dwd_clean),
       (SELECT count(*) AS expected_rows, count(DISTINCT dt) AS expected_dates, CAST(sum(round(quantity::DECIMAL(18,0) * price, 2)) AS DECIMAL(28,2)) AS expected_amount FROM ods_typed WHERE {_OK})""",
     "alltime_quality_summary": "SELECT count(*) AS check_cnt, count(*) FILTER (NOT is_pass) AS failed_cnt, coalesce(string_agg(check_name, ',' ORDER BY check_order) FILTER (NOT is_pass), '') AS failed_checks, CASE WHEN bool_and(is_pass) THEN 'PASS' ELSE 'FAIL' END AS overall_status FROM alltime_quality_rules",
     "changed": "SELECT * REPLACE (CASE WHEN dt LIKE '%7' THEN CAST(total_sales + 1 AS DECIMAL(18,2)) ELSE total_sales END AS total_sales) FROM ads_sales_overview WHERE dt NOT LIKE '%5'",
-    "reconcile_tables": """SELECT dt, 'missing_right' AS diff_kind, NULL::VARCHAR AS column_name, NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value FROM ads_sales_overview WHERE dt LIKE '%5'
-      UNION ALL SELECT a.dt, 'mismatch', 'total_sales', a.total_sales::VARCHAR, b.total_sales::VARCHAR FROM ads_sales_overview a JOIN changed b USING (dt) WHERE a.total_sales <> b.total_sales""",
-    "batch_status": "SELECT *, CASE WHEN failed_cnt > 0 THEN 'FAILED' WHEN success_cnt > 0 THEN 'SUCCESS' WHEN start_cnt > 0 THEN 'RUNNING' ELSE 'NOT_FOUND' END AS batch_status FROM (SELECT DISTINCT dt AS batch_id, 1::BIGINT AS start_cnt, (substr(dt, 9, 2)::INTEGER % 5 <> 0)::BIGINT AS success_cnt, (substr(dt, 9, 2)::INTEGER % 7 = 0)::BIGINT AS failed_cnt FROM dwd_clean)",
+    "reconcile_tables": " UNION ALL ".join(["SELECT dt, CASE WHEN a.dt IS NULL THEN 'missing_left' ELSE 'missing_right' END AS diff_kind, NULL::VARCHAR AS column_name, NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value FROM ads_sales_overview a FULL JOIN changed b USING (dt) WHERE a.dt IS NULL OR b.dt IS NULL",
+      "SELECT dt, 'doubled_key', NULL, NULL, NULL FROM (SELECT dt FROM ads_sales_overview GROUP BY dt HAVING count(*) > 1 UNION SELECT dt FROM changed GROUP BY dt HAVING count(*) > 1)",
+      *(f"SELECT dt, 'mismatch', '{x}', a.{x}::VARCHAR, b.{x}::VARCHAR FROM ads_sales_overview a JOIN changed b USING (dt) WHERE a.{x} IS DISTINCT FROM b.{x}" for x in ("total_sales", "total_orders", "avg_order_value"))]),
+    "log": "SELECT dt AS batch_id, unnest(list_filter(['START', CASE WHEN d % 5 <> 0 THEN 'SUCCESS' END, CASE WHEN d % 7 = 0 THEN 'FAILED' END], lambda x: x IS NOT NULL)) AS status FROM (SELECT DISTINCT dt, substr(dt, 9, 2)::INTEGER AS d FROM dwd_clean)",
+    "batch_status": "SELECT batch_id, count(*) FILTER (status = 'START') AS start_cnt, count(*) FILTER (status = 'SUCCESS') AS success_cnt, count(*) FILTER (status = 'FAILED') AS failed_cnt, CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' WHEN bool_or(status = 'SUCCESS') THEN 'SUCCESS' WHEN bool_or(status = 'START') THEN 'RUNNING' ELSE 'NOT_FOUND' END AS batch_status FROM log GROUP BY batch_id",
+    "summary_by_month": "SELECT * EXCLUDE (dt), dt AS day, substr(dt, 1, 7) || '-01' AS dt FROM dws_sales_summary",
+    "overwrite_partition": f"SELECT * REPLACE (CASE WHEN dt = '{DAY[:7]}-01' THEN CAST(total_sales + 1 AS DECIMAL(14,2)) ELSE total_sales END AS total_sales) FROM summary_by_month",
+    "overwrite_dynamic": f"SELECT * REPLACE (CASE WHEN dt >= '{START}' THEN CAST(total_sales + 1 AS DECIMAL(14,2)) ELSE total_sales END AS total_sales) FROM summary_by_month",
+    "overwrite_range": f"SELECT * FROM summary_by_month WHERE dt NOT BETWEEN '{START}' AND '{END}' UNION ALL SELECT * REPLACE (CAST(total_sales + 1 AS DECIMAL(14,2)) AS total_sales) FROM summary_by_month WHERE dt BETWEEN '{START}' AND '{END}' AND dt NOT LIKE '%5-01'",
+    "ods_content_sample": f"SELECT * FROM ods_typed WHERE dt = '{DAY}' ORDER BY {', '.join(f'{x} NULLS FIRST' for x in _TEXTS)} LIMIT 20",
+    "dwd_normalization_sample": f"SELECT invoice, stockcode, description, customerid, country, quantity, amount FROM dwd_clean WHERE dt = '{DAY}' ORDER BY ALL NULLS FIRST LIMIT 10",
 }
 
 for _n, _of in (("order_frequency", "customer_order_stats"), ("high_value_order_frequency", "high_value_customers")):
@@ -207,9 +224,28 @@ for _n, _keys, _g, _m in (("customer_revenue_concentration", "customerid", "cust
 
 MARTS = {"dws_customer_value": ("customerid", "total_spent"), "dws_sales_summary": ("country", "total_sales"), "ads_high_value_contribution": ("dt", "total_sales"), "ads_level_distribution": ("customer_level", "total_spent"), "ads_country_rank": ("country", "total_sales"), "ads_high_value_preference": ("stockcode", None)}
 V["layer_row_counts"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name, dt, count(*) AS row_cnt FROM {v} GROUP BY dt" for n, v in (("ods_retail", "ods_typed"), ("dwd_retail_clean", "dwd_clean"), *((m, m) for m in MARTS)))
-V["mart_range_validation"] = "SELECT *, CASE WHEN row_cnt > 0 AND missing_dates = 0 AND doubled_keys = 0 AND (total_sales IS NULL OR abs(total_sales - dwd_sales) <= 0.01) THEN 'PASS' ELSE 'FAIL' END AS check_status FROM (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, '{'BLOCK' if s else 'WARN'}' AS check_level, count(*) AS row_cnt, count(DISTINCT dt) AS date_cnt, min(dt) AS min_dt, max(dt) AS max_dt, CAST({f'sum({s})' if s else 'NULL'} AS DECIMAL(28,2)) AS total_sales, (SELECT CAST(sum(amount) AS DECIMAL(28,2)) FROM dwd_clean) AS dwd_sales, "
-    f"(SELECT count(DISTINCT dt) FROM dwd_clean WHERE dt NOT IN (SELECT dt FROM {n})) AS missing_dates, (SELECT count(*) FROM (SELECT 1 FROM {n} GROUP BY dt, {k} HAVING count(*) > 1)) AS doubled_keys FROM {n}" for n, (k, s) in MARTS.items()) + ")"
+_NUM = "({})::DECIMAL(28,2)".format
+
+
+def _range(table: str, item: str, lvl: str, actual: str, expected: str, ok: str) -> str:
+    return f"SELECT '{table}' AS table_name, '{item}' AS check_item, '{lvl}' AS check_level, {_NUM(actual)} AS actual_value, {_NUM(expected)} AS expected_value, CASE WHEN {ok.format(a=_NUM(actual), e=_NUM(expected))} THEN 'PASS' ELSE 'FAIL' END AS check_status"
+
+
+_LINE_DATES, _LINE_SALES = "SELECT count(DISTINCT dt) FROM dwd_clean", "SELECT coalesce(sum(amount), 0) FROM dwd_clean"
+_RANGE = [_range("dwd_retail_clean", "non_empty", "BLOCK", "SELECT count(*) FROM dwd_clean", "1", "{a} >= {e}")]
+for _n, (_k, _s) in MARTS.items():
+    _l = "BLOCK" if _s else "WARN"
+    _RANGE += [
+        _range(_n, "non_empty", _l, f"SELECT count(*) FROM {_n}", "1", "{a} >= {e}"), _range(_n, "date_count", _l, f"SELECT count(DISTINCT dt) FROM {_n}", _LINE_DATES, "{a} = {e}"),
+        _range(_n, "missing_dates", _l, f"SELECT count(DISTINCT dt) FROM dwd_clean WHERE dt NOT IN (SELECT dt FROM {_n})", "0", "{a} = {e}"),
+        _range(_n, "doubled_keys", "BLOCK", f"SELECT count(*) FROM (SELECT 1 FROM {_n} GROUP BY dt, {_k} HAVING count(*) > 1)", "0", "{a} = {e}"),
+    ]
+    _RANGE += [_range(_n, "sales_match_lines", "BLOCK", f"SELECT coalesce(sum({_s}), 0) FROM {_n}", _LINE_SALES, "abs({a} - {e}) <= 0.01")] if _s else []
+_RANGE += [
+    _range("ads_high_value_contribution", "share_in_range", "BLOCK", "SELECT count(*) FROM ads_high_value_contribution WHERE sales_contribution_pct IS NULL OR sales_contribution_pct NOT BETWEEN 0 AND 100", "0", "{a} = {e}"),
+    _range("ads_level_distribution", "shares_add_up", "BLOCK", "SELECT count(*) FROM (SELECT dt FROM ads_level_distribution GROUP BY dt HAVING abs(sum(customer_cnt_pct) - 100) > 0.05)", "0", "{a} = {e}"),
+]
+V["mart_range_validation"] = " UNION ALL ".join(_RANGE)
 _PROFILE = [("rows", "ods_row_cnt", "count(*)"), *[("rows", f"{n}_cnt", f"count(DISTINCT {x})") for n, x in (("invoice", "invoice"), ("customer", "customerid"), ("product", "stockcode"), ("country", "country"))],
             *[("blank", f"null_{x}_cnt", f"count(*) FILTER (coalesce(trim({x}), '') = '')") for x in ("invoice", "stockcode", "description", "customerid", "country", "invoicedate")],
             ("numbers", "null_quantity_cnt", "count(*) FILTER (quantity IS NULL)"), ("numbers", "null_price_cnt", "count(*) FILTER (price IS NULL)"), ("numbers", "non_positive_quantity_cnt", "count(*) FILTER (quantity <= 0)"), ("numbers", "non_positive_price_cnt", "count(*) FILTER (price <= 0)"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from ..functions.parsing import parse_invoice_ts
 
@@ -96,7 +95,3 @@ def sample_rows(df: DataFrame, *keys: str, n: int = 20) -> DataFrame:
     """The first ``n`` rows by ``keys``, for reports."""
     return df.orderBy(*keys).limit(n)
 
-
-def numbered(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
-    """``df`` with the row number inside each ``by``."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='salesmart-')}"
+    """A new path in the cluster's shared checkpoint folder; a temporary one only on one machine, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='salesmart-')}"
     return f"{base.rstrip('/')}/layer-{uuid.uuid4().hex}"
 
 
@@ -61,7 +65,7 @@ def overwrite_range(df: DataFrame, path: str, start: str, end: str, amount: str
     ``amount`` within 0.01) and raises if they differ. ``df`` must not read from ``path``.
     """
     spark = df.sparkSession
-    df = df.where(F.col("dt").between(start, end))
+    df = stored(df.where(F.col("dt").between(start, end)))  # computed once, read for the facts, the write and the dates
 
     def facts(x: DataFrame):
         total = F.sum(F.col(amount).cast("decimal(38,2)")) if amount else F.lit(None).cast("decimal(38,2)")
