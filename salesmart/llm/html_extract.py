@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -15,38 +17,51 @@ from .common import materialise, partitions
 # Elements by role, and the words of a class or id that mark furniture.
 BLOCK = frozenset("address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style template noscript svg iframe object select button textarea form nav header footer aside head title dialog".split())
+SKIP = frozenset("script style template noscript svg iframe object select button textarea nav footer aside head title dialog".split())
 MAIN = frozenset(("article", "main"))
 HEAD = frozenset("base bgsound link meta noscript script style template title".split())
-WORDS = """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus
+#: Elements of text itself: one of several names doesn't make them furniture.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt td th tr b i em strong".split())
+WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus
 footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pager pagination
-popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget""".split()
-FURNITURE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(WORDS)})(?:$|[\s_-])", re.I)
+popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget""".split())
+PLAIN = frozenset("area bar block bottom box buttons container content inner item items left list main page post right section site top wrap wrapper".split())
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Share of a page's characters from which on a neighbour that shares them is a copy, and not differenced.
+COPY = 0.9
 #: An opening tag of these ends an open paragraph.
 _CLOSES_P = BLOCK - {"body", "html"}
 _SPACE = re.compile(r"\s+")
 
 
+def _furniture(tag: str, names: str) -> bool:
+    """Whether classes and ids say furniture: one of the names (all of a text element's) has words for furniture and plain ones alone."""
+    parts = [set(re.split(r"[_-]+", name)) - {""} for name in names.lower().split()]
+    found = [bool(p & WORDS) and p <= WORDS | PLAIN for p in parts]
+    return bool(found) and (all(found) if tag in TEXT else any(found))
+
+
 class _Blocks(HTMLParser):
-    """Collects (protected, text) blocks in page order; protected ones stand in the page's article."""
+    """Collects (protected, in a form, text) blocks in page order; protected ones stand in the page's article."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # tag, hides, is the article
+        self.count: Counter = Counter()  # open elements by tag
         self.hidden = self.article = 0
         self.parts: list[str] = []
-        self.blocks: list[tuple[bool, str]] = []
+        self.blocks: list[tuple[bool, bool, str]] = []
 
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((self.article > 0, text))
+                self.blocks.append((self.article > 0, self.count["form"] > 0, text))
             self.parts = []
 
     def pop(self) -> None:
-        _, hides, main = self.open.pop()
+        tag, hides, main = self.open.pop()
+        self.count[tag] -= 1
         self.hidden -= hides
         self.article -= main
 
@@ -55,13 +70,13 @@ class _Blocks(HTMLParser):
             self.flush()
         if tag == "br":
             self.parts.append(" ")
-        if tag not in HEAD and any(t == "head" for t, _, _ in self.open):  # its end tag may be left out
+        if tag not in HEAD and self.count["head"]:  # its end tag may be left out
             while self.open[-1][0] != "head":
                 self.pop()
             self.pop()
         if tag in VOID:
             return
-        if tag in _CLOSES_P and any(t == "p" for t, _, _ in self.open):
+        if tag in _CLOSES_P and self.count["p"]:
             while self.open[-1][0] != "p":
                 if self.open[-1][0] in BLOCK:
                     break
@@ -69,9 +84,12 @@ class _Blocks(HTMLParser):
             if self.open[-1][0] == "p":
                 self.pop()
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        hides = tag in SKIP or bool(names and tag not in MAIN and tag not in ("html", "body") and FURNITURE.search(names)) or any(k == "hidden" or (k == "style" and v and UNSEEN.search(v)) for k, v in attrs)
+        hides = tag in SKIP or (tag == "header" and not self.article)  # an article's own header holds its title
+        hides = hides or bool(names and tag not in MAIN and tag not in ("html", "body") and not (tag == "header" and self.article) and _furniture(tag, names))
+        hides = hides or any(k == "hidden" or (k == "style" and v and UNSEEN.search(v)) for k, v in attrs)
         main = tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)
         self.open.append((tag, hides, main))
+        self.count[tag] += 1
         self.hidden += hides
         self.article += main
 
@@ -82,7 +100,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        if any(t == tag for t, _, _ in self.open):
+        if self.count[tag]:
             while self.open[-1][0] != tag:
                 self.pop()
             self.pop()
@@ -93,11 +111,14 @@ class _Blocks(HTMLParser):
 
 
 def _parsed(html: str | None) -> list[tuple[bool, str]]:
+    """(in an article, text) of the blocks. Forms give none, but for one that is wrapped around most of the page's text."""
     p = _Blocks()
     p.feed(html or "")
     p.close()
     p.flush()
-    return p.blocks
+    inside = sum(len(t) for _, form, t in p.blocks if form)
+    wrapped = 2 * inside > sum(len(t) for _, _, t in p.blocks)
+    return [(own, t) for own, form, t in p.blocks if wrapped or not form]
 
 
 def blocks(html: str | None) -> tuple[list[str], list[str]]:
@@ -120,30 +141,43 @@ def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
     return host, F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"/+$", "")
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices of ``a`` in a longest common subsequence of lines of both."""
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    shared, other = set(range(start)), set(b)
-    own = [i for i in range(start, len(a)) if a[i] in other]
-    mine = set(a[i] for i in own)
-    rest = [t for t in b[start:] if t in mine]
-    table = [[0] * (len(rest) + 1)]
-    for i in own:
-        last, row = table[-1], [0]
-        for k, t in enumerate(rest):
-            row.append(last[k] + 1 if t == a[i] else max(last[k + 1], row[k]))
-        table.append(row)
-    i, k = len(own), len(rest)
-    while i and k:
-        if a[own[i - 1]] == rest[k - 1] and table[i][k] == table[i - 1][k - 1] + 1:
-            shared.add(own[i - 1])
-            i, k = i - 1, k - 1
-        elif table[i - 1][k] >= table[i][k - 1]:
-            i -= 1
-        else:
-            k -= 1
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each beginning of ``b``, by bits of whole numbers."""
+    places: dict = {}
+    for j, t in enumerate(b):
+        places[t] = places.get(t, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for t in a:
+        hit = row & places.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def common_lines(a: list, b: list) -> set[int]:
+    """Indices of ``a`` in a longest common subsequence of lines of both.
+
+    The first half of ``a`` is aligned with the beginning of ``b`` and the second with the rest, where both
+    lengths add up to most, and so on: memory grows with the lines of both and not with their product.
+    """
+    both = set(a) & set(b)
+    shared: set[int] = set()
+    todo = [([i for i, t in enumerate(a) if t in both], [t for t in b if t in both])]
+    while todo:
+        own, other = todo.pop()
+        while own and other and a[own[0]] == other[0]:
+            shared.add(own[0])
+            own, other = own[1:], other[1:]
+        if not own or not other:
+            continue
+        if len(own) == 1:
+            shared.update(own if a[own[0]] in other else [])
+            continue
+        half = len(own) // 2
+        lines = [a[i] for i in own]
+        split = int((_lengths(lines[:half], other) + _lengths(lines[half:][::-1], other[::-1])[::-1]).argmax())
+        todo += [(own[:half], other[:split]), (own[half:], other[split:])]
     return shared
 
 
@@ -170,10 +204,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A page is its blocks in page order, less the lines it shares with the nearest different page before
     and after it by URL path on its host (longest common subsequence, on hashes of the lines). Equal pages
-    beside each other are one run with one pair of neighbours. Lines inside an article or main element stay
-    whatever other pages say, where such elements hold most of the page's text; otherwise the mark counts for
-    nothing. Pages alone on a host, and pages that would lose every line, keep all. Null html is empty, a null
-    url is the empty host; repeated rows are pages of their own.
+    beside each other are one run with one pair of neighbours, and a neighbour that shares ``COPY`` of the
+    page's characters is a near copy and takes nothing. Lines inside an article or main element stay whatever
+    other pages say, where such elements hold most of the page's text; otherwise the mark counts for nothing.
+    Pages alone on a host, and pages that would lose every line, keep all. Null html is empty, a null url is
+    the empty host; repeated rows are pages of their own, other columns are ignored, an empty table gives no
+    row. Very long pages are parsed whole, in time and memory that grow with their length.
     """
     host, path = host_and_path(F.col("url"))
 
@@ -188,12 +224,12 @@ def extract(pages: DataFrame) -> DataFrame:
     base = base.withColumn("x", F.xxhash64("lines")).withColumn("open", F.exists("guard", lambda g: ~g))
     base = materialise(base)  # parsed once; only hashes of lines, and pages with lines to lose, are dealt out below
     hosts = base.where("open").select("host").distinct()  # on other hosts no page has lines to lose
-    lines = base.where(F.size("lines") > 0).select(*order, "open", F.transform("lines", lambda t: F.xxhash64(t)).alias("hashes"))
+    lines = base.where(F.size("lines") > 0).select(*order, "open", F.transform("lines", lambda t: F.xxhash64(t)).alias("hashes"), F.transform("lines", lambda t: F.length(t)).alias("sizes"))
     lines = lines.join(hosts, "host")  # not a semi-join, which the optimizer moves below the hashing, where it would deal out the texts
-    lines = lines.groupBy(*order).agg(F.first("hashes").alias("hashes"), F.max("open").alias("open"))  # alike pages stand once
+    lines = lines.groupBy(*order).agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"), F.max("open").alias("open"))  # alike pages stand once
     lines = materialise(lines.repartitionByRange(partitions(spark), *order).withColumn("range", F.spark_partition_id()))
     runs = materialise(_runs(lines, order))
-    heads = runs.where("start").select(*order, "hashes", "head").repartitionByRange(partitions(spark), *order)
+    heads = runs.where("start").select(*order, "hashes", "sizes", "head").repartitionByRange(partitions(spark), *order)
     heads = materialise(heads.withColumn("range", F.spark_partition_id()))
     me, key = F.struct("host", "hashes"), F.struct(*order)
     edge = heads.groupBy("range").agg(F.min_by(me, key).alias("first"), F.max_by(me, key).alias("last"))
@@ -202,20 +238,22 @@ def extract(pages: DataFrame) -> DataFrame:
     own = Window.partitionBy("range").orderBy(*order)
     near = heads.withColumn("before", F.lag(me).over(own)).withColumn("after", F.lead(me).over(own)).join(F.broadcast(edge), "range", "left")
     near = near.join(runs.where("open").select("head").distinct(), "head", "left_semi")
-    near = near.select("head", "hashes", "host", F.array(F.coalesce("before", "e_before"), F.coalesce("after", "e_after")).alias("near"))
+    near = near.select("head", "hashes", "sizes", "host", F.array(F.coalesce("before", "e_before"), F.coalesce("after", "e_after")).alias("near"))
     near = near.withColumn("near", F.filter("near", lambda n: n.isNotNull() & (n["host"] == F.col("host"))))
 
     @F.pandas_udf("array<int>")
-    def shared(hashes: pd.Series, near_: pd.Series) -> pd.Series:
+    def shared(hashes: pd.Series, sizes: pd.Series, near_: pd.Series) -> pd.Series:
         out = []
-        for own_lines, others in zip(hashes, near_):
+        for own_lines, size, others in zip(hashes, sizes, near_):
             gone: set[int] = set()
             for other in others:
-                gone |= common_lines(own_lines.tolist(), other.tolist())
+                same = common_lines(own_lines.tolist(), other.tolist())
+                if sum(size[k] for k in same) < COPY * size.sum():
+                    gone |= same
             out.append(sorted(gone))
         return pd.Series(out, dtype="object")
 
-    gone = near.select("head", shared("hashes", F.transform("near", lambda n: n["hashes"])).alias("gone"))
+    gone = near.select("head", shared("hashes", "sizes", F.transform("near", lambda n: n["hashes"])).alias("gone"))
     gone = runs.where("open").select(*order, "head").join(gone, "head").select(*order, "gone")
     left = F.filter("lines", lambda t, i: F.element_at("guard", i + 1) | ~F.array_contains("gone", i))
     bare = base.where("open").join(gone, order, "left").withColumn("left", left)
