@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .common import partitions
+
 # The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Event kinds. A message, an edit and a regeneration begin a message's text anew; a delta adds to it.
@@ -43,22 +45,33 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def events_of(turns: DataFrame) -> DataFrame:
     """An event log (conv_id, seq, message, kind, role, text) of finished turns (conv_id, turn, role, text).
 
-    An assistant's text comes as a stream: an opening, and its two halves as deltas. Others come whole.
-    Null texts count as empty, null roles as ''. Rows that share conv_id and turn are messages of their
-    own, in order of role and text.
+    An assistant's text comes as a stream: an opening, and its two halves as deltas. Others come whole. A
+    quarter of the messages, by a hash of their text, have a draft before them: an assistant's is streamed as
+    far as its first half and generated anew, the others' holds the second half alone and is edited. Null
+    texts count as empty, null roles as ''. Rows that share conv_id and turn are messages of their own, in
+    order of role and text. Messages are numbered by ranges of that order, so that a conversation of any size
+    spreads over tasks; numbers rise within a conversation but have gaps. Other columns are ignored.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("message", F.row_number().over(order).cast("long"))
+    order = ["conv_id", "turn", "role", "text", "row"]
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # equal rows are interchangeable; their place in the input spreads them
+    rows = rows.repartitionByRange(partitions(turns.sparkSession), *order).sortWithinPartitions(*order)
+    rows = rows.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("message"))
     half = F.floor(F.length("text") / 2).cast("int")
-
-    def event(k: int, kind: str, text) -> F.Column:
-        return F.struct((F.col("message") * 4 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-
-    whole = F.array(event(0, "message", F.col("text")))
-    stream = F.array(event(0, "message", F.lit("")), event(1, "delta", F.substring("text", F.lit(1), half)), event(2, "delta", F.substring("text", half + 1, F.length("text"))))
-    out = rows.select("conv_id", "message", "role", F.explode(F.when(F.col("role") == "assistant", stream).otherwise(whole)).alias("e"))
-    return out.select("conv_id", "e.seq", "message", "e.kind", "role", "e.text")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def events(*kinds_and_texts) -> F.Column:
+        return F.array(*[F.struct((F.col("message") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(kinds_and_texts)])
+
+    empty, stream = F.lit(""), (("delta", first), ("delta", second))
+    drafted, own = F.pmod(F.xxhash64("text"), F.lit(4)) == 0, F.col("role") == "assistant"
+    log = (
+        F.when(own & drafted, events(("message", empty), ("delta", first), ("regenerate", empty), *stream))
+        .when(own, events(("message", empty), *stream))
+        .when(drafted, events(("message", second), ("edit", F.col("text"))))
+        .otherwise(events(("message", F.col("text"))))
+    )
+    return rows.select("conv_id", "message", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "message", "e.kind", "role", "e.text")
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
@@ -98,7 +111,8 @@ def digests(chunks: DataFrame) -> DataFrame:
     """What a reader of the formatted conversations sees, one row each.
 
     Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Chunks are streamed in
-    order and hashed as they come, so that memory doesn't grow with a conversation.
+    order and hashed as they come, so that memory doesn't grow with a conversation; its hashes take one task,
+    since SHA-256 reads a text from end to end.
     """
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -133,5 +147,5 @@ def digests(chunks: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """Turns -> event log -> folded messages -> formatted chunks."""
+    """Turns -> event log -> folded messages -> formatted chunks, one a row of ``turns``; an empty table gives none."""
     return formatted(reconstruct(events_of(turns)))
