@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, partitions, text_or_empty
+from .common import partitions, text_or_empty
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a signature (a power of two).
 K, TUPLE, SIZE = 6, 2, 128
+#: Bytes of text of a bucket of neighbours.
+BUCKET = 64 << 20
 _MUL, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -36,9 +38,10 @@ def codes(text: str) -> np.ndarray:
 def signature(points: np.ndarray) -> np.ndarray:
     """Order MinHash of a text given as code points: SIZE unsigned 16-bit values.
 
-    Each k-mer is hashed with the number of its occurrence. The hashes fall into SIZE bins; in each the
-    TUPLE smallest are selected, put back in text order and hashed together. A bin without a k-mer is
-    0. A text shorter than a k-mer is one k-mer; an empty text has only zeros.
+    Each k-mer is hashed with the number of its occurrence. SIZE marks divide the hashes' range; at each
+    the TUPLE smallest hashes from the mark on are selected (past the greatest, the smallest of all follow),
+    put back in text order and hashed together. So the marks of a short text share k-mers, and all keep
+    their order. A text shorter than a k-mer is one k-mer; an empty text has only zeros.
     """
     n = len(points)
     if not n:
@@ -56,17 +59,13 @@ def signature(points: np.ndarray) -> np.ndarray:
     g = _mix(h + number * _STEP)
     key, place = _ordered(g)
     bits = np.uint64(max(24, len(g).bit_length()))
-    edges = np.searchsorted(key, np.arange(SIZE + 1, dtype=np.uint64) << (np.uint64(64) - np.uint64(SIZE.bit_length() - 1) - bits))
-    edges[-1] = len(key)
-    rows = edges[:-1, None] + np.arange(TUPLE)
-    real = rows < edges[1:, None]
-    places = np.where(real, place[np.minimum(rows, len(place) - 1)], len(h))
+    marks = np.searchsorted(key, np.arange(SIZE, dtype=np.uint64) << (np.uint64(64) - np.uint64(SIZE.bit_length() - 1) - bits))
+    places = place[(marks[:, None] + np.arange(min(TUPLE, len(key)))) % len(key)]
     places.sort(axis=1)
-    value = np.where(places < len(h), g[np.minimum(places, len(h) - 1)], np.uint64(0))
     out = np.zeros(SIZE, np.uint64)
-    for j in range(TUPLE):
-        out = _mix(out * _MUL + value[:, j])
-    return np.where(real[:, 0], (out >> np.uint64(48)).astype(np.uint16) | np.uint16(1), np.uint16(0))
+    for j in range(places.shape[1]):
+        out = _mix(out * _MUL + g[places[:, j]])
+    return (out >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -87,6 +86,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), hexes(text).alias("fingerprint"))
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of at most about ``BUCKET`` bytes, and no fewer than tasks."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(3 * partitions(docs.sparkSession), size // BUCKET)
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(bucket, doc_id, ahead, text): documents in buckets of ascending doc_id, each with its first follower.
 
@@ -95,7 +100,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     which is one more text a bucket. Null doc_ids come first; rows with one doc_id follow by text hash.
     """
     spark = docs.sparkSession
-    buckets = buckets or 3 * partitions(spark)
+    buckets = buckets or bucket_count(docs)
     q = [i / buckets for i in range(1, buckets)]
     found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, q)), 10_000)).first()[0] if q else None
     edges = np.unique(np.array([x for x in found or [] if x is not None], np.int64))
@@ -123,7 +128,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars/2) code points replaced by the first as many (or all) of
     the next document, by ascending doc_id, the last being followed by the first. A lone document follows
-    itself. Buckets are streamed in order, two texts in memory at a time.
+    itself. Buckets are streamed in order, two texts in memory at a time. Null texts count as empty, rows
+    that share a doc_id follow each other by text, other columns are ignored; an empty table gives none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +153,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
                     held = bucket, doc, ahead, text, points, signature(points)
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
-    spread = with_next(docs)
-    n = 3 * partitions(docs.sparkSession)
+    n = bucket_count(docs)
+    spread = with_next(docs, n)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", F.xxhash64("text"), "text").mapInPandas(run, schema)
