@@ -107,9 +107,15 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _walk_cells(bit: int, budget: int):
-    """Join the cells of a partition sorted by (cell, side, v); too large cells are handed back."""
+    """Join the cells of a partition sorted by (cell, side, v); too large cells are handed back.
+
+    Cells of split nodes are named by a hash; so that a chance hash links nothing, what the walk finds is
+    compared in all its bits, and links only within one choice of equal blocks. ``acc`` holds the choice
+    above its lowest four bits.
+    """
 
     def walk(v, rep, side, acc, cell) -> pd.DataFrame:
+        perm, acc = acc >> 4, acc & 15
         starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (side[1:] != side[:-1]))))
         ends = np.concatenate((starts[1:], [len(v)]))
         second = np.concatenate(([False], cell[starts[1:]] == cell[starts[:-1]]))
@@ -125,6 +131,8 @@ def _walk_cells(bit: int, budget: int):
         if not len(pairs):
             return pd.DataFrame({"a": [], "b": []})
         i, j = _pairs(v, pairs, bit, budget)
+        true = (perm[i] == perm[j]) & (np.bitwise_count(v[i] ^ v[j]) <= budget)
+        i, j = i[true], j[true]
         _, rows = np.unique(rep, return_inverse=True)
         ids = np.unique(rep)
         root = _forest(len(ids), rows[i], rows[j])
@@ -182,7 +190,7 @@ def hamming_links(prints: DataFrame, budget: int = 3) -> DataFrame:
         raise ValueError("the block scheme covers at most three differing bits")
     spread = prints.select("rep", F.posexplode(F.array(*[_front(c) for c in combinations(range(len(BLOCKS)), 3)])).alias("perm", "v"))
     rows = spread.select(
-        F.xxhash64("perm", F.shiftrightunsigned("v", 64 - ROOT_BITS)).alias("cell"), "v", "rep", F.lit(0).alias("side"), F.lit(0).alias("acc")
+        (F.col("perm").cast("long") * F.lit(1 << ROOT_BITS) + F.shiftrightunsigned("v", 64 - ROOT_BITS)).alias("cell"), "v", "rep", F.lit(0).alias("side"), (F.col("perm") * 16).alias("acc")
     )
     schema = "a long, b long, cell long, v long, side int, acc int"
     bit, found = 63 - ROOT_BITS, None
@@ -204,7 +212,7 @@ def hamming_links(prints: DataFrame, budget: int = 3) -> DataFrame:
         pairs = x.join(y, "cell").where(
             "x.side = 0 and (case when x.two then y.side = 1 else x.digit <= y.digit end)"
         ).select("cell", F.col("x.digit").alias("d1"), F.col("y.digit").alias("d2"), F.col("x.two").alias("two"),
-                 (F.col("x.acc") + F.bit_count(F.col("x.digit").bitwiseXOR(F.col("y.digit")))).cast("int").alias("acc")).where(F.col("acc") <= budget)
+                 (F.col("x.acc") + F.bit_count(F.col("x.digit").bitwiseXOR(F.col("y.digit")))).cast("int").alias("acc")).where(F.col("acc").bitwiseAND(15) <= budget)
         pairs = pairs.withColumn("next", F.xxhash64("cell", "d1", "d2"))
         one = pairs.select("cell", F.lit(0).alias("side"), F.col("d1").alias("digit"), "next", F.lit(0).alias("nside"), F.col("acc").alias("nacc"))
         two = pairs.where("two or d1 <> d2").select("cell", F.when(F.col("two"), 1).otherwise(0).alias("side"), F.col("d2").alias("digit"), "next", F.lit(1).alias("nside"), F.col("acc").alias("nacc"))
@@ -213,12 +221,13 @@ def hamming_links(prints: DataFrame, budget: int = 3) -> DataFrame:
         )
         bit -= width
         if bit < 0:  # the cells now hold one value a side: each is a link
-            last = rows.groupBy("cell").agg(F.max("rep").alias("a"), F.min("rep").alias("b")).where("a <> b").select("a", "b")
+            last = rows.groupBy("cell").agg(F.max("rep").alias("a"), F.min("rep").alias("b"), F.bit_count(F.bit_xor("v")).alias("bits"))
+            last = last.where((F.col("a") != F.col("b")) & (F.col("bits") <= budget)).select("a", "b")
             return found.union(last).distinct()
 
 
 def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, n_links.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id reachable over links of at most ``budget`` differing bits.
     Equal fingerprints are joined once, as a class with its smallest doc_id, before any pair is formed.
