@@ -7,8 +7,8 @@ one to the right is the same make a run; the run is one tuple (its bytes, at mos
 sorted inside a share, where the least document of each prefix of 50 bytes settles all of them.
 
 First the sampled hashes alone are counted; a sample that occurs in one document only can't be in a
-repeated window, and its run is never shipped. Hashes travel as arrays, one a block of documents and share,
-so shares grow in number with the data and not in size.
+repeated window, and its run is never shipped. Hashes travel as arrays, one a block of documents and share;
+the number of shares follows from the bytes of all texts, so shares grow in number with the data and not in size.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import partitions, text_or_empty
 
 #: Bytes of a repeated string, and of the sampled strings within it.
 WIDTH, K = 50, 20
+#: Bytes of text of a share; there are no fewer shares than shuffle partitions.
+SHARE = 32 << 20
 #: Window starts handled at once in a long text, and windows compared at once.
 CHUNK, COMPARED = 1 << 20, 1 << 16
 _SPREAD = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -294,7 +296,7 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     o orders the documents (a null doc_id comes last), h hashes the text, z is the packed text.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = max(partitions(spark), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE)
 
     @F.pandas_udf("binary")
     def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
