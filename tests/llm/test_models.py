@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -154,6 +155,73 @@ def test_order_minhash(spark):
     assert len(one) == 1 and one[0].doc_id is None and one[0].near_next == 1.0
 
 
+def plain_signature(text, k=6, size=128):
+    """The signature by its definition, in plain whole numbers."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    if not text:
+        return [0] * size
+    k = min(k, len(text))
+    seen, grams = Counter(), []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & full
+        h = mix((h + k) & full)
+        grams.append((mix((h + seen[h] * 0xD1B54A32D192ED03) & full), i))
+        seen[h] += 1
+    grams.sort()
+    out = []
+    for j in range(size):
+        first = next((n for n, (g, _) in enumerate(grams) if g >= j << 57), 0)
+        value = 0
+        for g, _ in sorted((grams[(first + n) % len(grams)] for n in range(min(2, len(grams)))), key=lambda x: x[1]):
+            value = mix((value * 0x9E3779B97F4A7C15 + g) & full)
+        out.append(value >> 48 | 1)
+    return out
+
+
+def test_signature_is_as_defined():
+    rng = random.Random(12)
+    for text in ["", "a", "abcdef", "aaaaaaaaaaaaaaaa", "abcabcabcabc", *(words(rng, n) for n in (1, 3, 20, 300))]:
+        assert order_minhash.signature(order_minhash.codes(text)).tolist() == plain_signature(text), text
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_likeness_falls_with_edit_distance():
+    """Over texts of 60 to 800 characters: the more edits, the less alike; swapped halves are far below 1 even in short ones."""
+    rng = random.Random(13)
+    sign = lambda t: order_minhash.signature(order_minhash.codes(t))
+    for n in (12, 40, 120):
+        pairs = []
+        for edits in (0, 1, 3, 8, n // 2, n):
+            for _ in range(4):
+                a = words(rng, n).split(" ")
+                b = list(a)
+                for _ in range(edits):
+                    b[rng.randrange(n)] = words(rng, 1)
+                a, b = " ".join(a), " ".join(b)
+                pairs.append((edit_distance(a, b) / max(len(a), len(b)), order_minhash.likeness(sign(a), sign(b))))
+        distance, alike = np.array(pairs).T
+        assert np.corrcoef(np.argsort(np.argsort(distance)), np.argsort(np.argsort(alike)))[0, 1] < -0.8
+        assert all(x == 1 for d, x in pairs if d == 0)
+        half = [order_minhash.likeness(sign(t), sign(t[len(t) // 2 :] + t[: len(t) // 2])) for t in (words(rng, n) for _ in range(8))]
+        assert np.mean(half) < 0.7
+
+
 def test_order_minhash_follows_order():
     rng = random.Random(1)
     parts = [words(rng, 30) for _ in range(12)]
@@ -188,6 +256,18 @@ def test_chats(spark):
         assert r.formatted_chars == sum(len(chat.render(t[2] or "", t[3] or "")[0]) for t in turns)
 
 
+def test_logs_carry_drafts(spark):
+    """Edits and regenerations are in the log, what they replace is not in the messages, and a hot conversation spreads."""
+    rng = random.Random(2)
+    rows = [(7, k, rng.choice(["user", "assistant"]), words(rng, 6)) for k in range(200)] + [(7, 300, "user", "same")] * 40
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.events_of(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    assert log.select("message", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().count() > 1
+    out = chat.reconstruct(log).orderBy("message").collect()
+    assert [(r.role, r.text) for r in out] == [r[2:] for r in rows]
+
+
 def test_event_fold(spark):
     events = [(1, 0, 1, "message", "assistant", "draft"), (1, 1, 1, "delta", "assistant", " more"), (1, 5, 1, "regenerate", "assistant", ""), (1, 6, 1, "delta", "assistant", "new"), (1, 7, 1, "delta", "assistant", None), (1, 8, 1, "delta", "assistant", " text"),
               (1, 2, 0, "message", "user", "teh"), (1, 9, 0, "edit", "user", "the"), (2, 0, 0, "delta", None, "only")]
@@ -216,6 +296,48 @@ def test_common_lines():
     assert html_extract.common_lines(list("ab"), []) == set()
 
 
+def table_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for k, y in enumerate(b):
+            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+    return row[-1]
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.choice([2, 5, 30])) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        found = sorted(html_extract.common_lines(a, b))
+        rest = iter(b)
+        assert all(a[i] in rest for i in found)  # in order in b, too
+        assert len(found) == table_length(a, b)
+    a = [rng.randrange(2000) for _ in range(8000)]
+    assert len(html_extract.common_lines(a, a[:3000] + a[4000:])) == 7000
+
+
+def test_structure_keeps_text():
+    """What is no furniture stays: an article's title in its header, words of classes on text, a form around the page."""
+    lines = lambda x: [t for own in html_extract.blocks(x) for t in own]
+    assert lines("<header>Site</header><article><header><h1>Title</h1></header><p>Text</article>") == ["Title", "Text"]
+    assert lines('<article><h1 class="entry-header">T</h1><p class="market share">A<section id="related-work">B</section><div class="comment-list">C</div></article>') == ["T", "A", "B"]
+    assert lines("<form><p>The whole page is in a form.<input></p></form>") == ["The whole page is in a form."]
+    assert lines("<form><label>Mail</label></form><p>The page's own text.") == ["The page's own text."]
+    began = time.time()
+    assert len(lines("<ul>" + "<li>x" * 100_000)) == 100_000
+    assert time.time() - began < 10
+
+
+def test_near_copies_take_nothing(spark):
+    """Neighbours that share most of the text are copies; those that share the frame are differenced."""
+    div = lambda *lines: "".join(f"<div>{x}</div>" for x in lines)
+    body = [f"a long line {k} of the text that both pages have" for k in range(9)]
+    rows = [(1, "http://c.org/1", div("Top", *body, "one")), (2, "http://c.org/2", div("Top", *body, "two")), (3, "http://c.org/3", div("Top", "another page's own text, of some length"))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "\n".join(["Top", *body, "one"]), 2: "\n".join([*body, "two"]), 3: "another page's own text, of some length"}
+
+
 def test_extract(spark):
     div = lambda *lines: "".join(f"<div>{x}</div>" for x in lines)
     rows = [(1, "http://h.org/a/1", div("Top", "one one", "End")), (2, "https://www.h.org/a/2?q=1", div("Top", "two two", "End")), (3, "http://h.org/a/3#x", div("Top", "three", "End")),
