@@ -27,7 +27,8 @@ class Params:
     sampled document (longer ones give as many, evenly spaced). steps: training segments an epoch. aside:
     most segments kept aside to calibrate the scores. known: bits of the table of three-letter subwords seen
     in training. prior: subwords by which a text's share of known ones is drawn to that of clean texts. loss:
-    share of clean texts that the rejection limit may cost; spared: share of negatives it may let through.
+    share of clean texts that the highest rejection limit costs; spared: share of the negatives that may pass
+    beyond those that pass there, so that the limit lies as low as it can.
     """
 
     buckets: int = 1 << 15
@@ -44,7 +45,7 @@ class Params:
     known: int = 21
     prior: float = 12.0
     loss: float = 0.002
-    spared: float = 0.1
+    spared: float = 0.25
     seed: int = 7
 
 
@@ -181,7 +182,8 @@ def calibrate(model: Model, train: list[tuple[int, str]], clean: list[tuple[int,
 
     Clean texts are whole ones and their first words. Negatives are texts with their letters shuffled, in
     letters moved to another script, and in a language left out of training (judged by the subwords that the
-    other languages have). Where negatives and clean texts overlap, the clean ones decide.
+    other languages have). No more than ``loss`` of the clean texts may fall below the limit, and it is set
+    lower, as far as few more negatives pass.
     """
     params, rng = model.params, np.random.default_rng(model.params.seed)
     by_language: list[list[np.ndarray]] = [[] for _ in model.languages]
@@ -209,8 +211,8 @@ def calibrate(model: Model, train: list[tuple[int, str]], clean: list[tuple[int,
         bad += [share("".join(rng.permutation(list(t))), model.seen) for t in mine]
         bad += [share("".join(chr(ord(c) + 0x0A00) if c.isalpha() else c for c in t if ord(c) < 0xA000), model.seen) for t in mine]
     high = float(np.quantile(good, params.loss))
-    low = float(np.quantile(bad, 1 - params.spared)) if bad else 0.0
-    model.least = (low + high) / 2 if low < high else high
+    passing = np.mean(np.array(bad) >= high) if bad else 0.0
+    model.least = min(high, float(np.quantile(bad, max(0.0, 1 - passing - params.spared))) if bad else 0.0)
 
 
 def held_out() -> F.Column:
