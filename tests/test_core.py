@@ -216,15 +216,48 @@ def test_global_rank(spark):
     assert {(r.v, r.r) for r in out.collect()} == {(v, 1 + sum(x > v for x in values)) for v in values}
 
 
-def test_entry_without_the_corpus_package():
+def test_entry_without_the_corpus_package(tmp_path):
+    """Nothing outside the corpus package imports it, and the entry loads where it and its pipeline are deleted."""
     import ast
     import pathlib
-
-    top = pathlib.Path(__file__).parents[1] / "salesmart"
-    for f in top.rglob("*.py"):
-        if "llm" not in f.relative_to(top).parts:
-            names = [getattr(n, "module", None) or "" for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.ImportFrom)]
-            assert not any("llm" in n.split(".") for n in names), f
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parents[1]
+    for f in (root / "salesmart").rglob("*.py"):
+        if "llm" not in f.relative_to(root / "salesmart").parts:
+            for n in ast.walk(ast.parse(f.read_text())):
+                names = [a.name for a in n.names] if isinstance(n, ast.Import) else [n.module or ""] + [a.name for a in n.names] if isinstance(n, ast.ImportFrom) else []
+                assert not any("llm" in x.split(".") or x == "corpus_pipeline" for x in names), f
+    shutil.copytree(root / "salesmart", tmp_path / "salesmart", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 90 and set(s) <= set(q) and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", said], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
+
+
+def test_range_validation(layers):
+    """Missing dates, extra dates, doubled keys and shares out of range are told apart, at their levels."""
+    dwd = layers[3]
+    value, summary = M.dws_customer_value(dwd), M.dws_sales_summary(dwd)
+    marts = {"dws_customer_value": value, "dws_sales_summary": summary, "ads_high_value_contribution": M.ads_high_value_contribution(dwd, value), "ads_level_distribution": M.ads_level_distribution(value), "ads_country_rank": M.ads_country_rank(summary), "ads_high_value_preference": M.ads_high_value_preference(dwd, value)}
+
+    def failed(**changed):
+        return {(r.table_name, r.check_item, r.check_level) for r in Q.mart_range_validation(dwd, {**marts, **changed}).collect() if r.check_status == "FAIL"}
+
+    usual = failed()
+    assert all(lvl == "WARN" and t == "ads_high_value_preference" for t, _, lvl in usual)
+    day = summary.agg(F.min("dt")).first()[0]
+    lost = failed(dws_sales_summary=summary.where(F.col("dt") != day)) - usual
+    assert lost == {("dws_sales_summary", i, "BLOCK") for i in ("date_count", "missing_dates", "sales_match_lines")}
+    more = failed(ads_country_rank=marts["ads_country_rank"].unionByName(marts["ads_country_rank"].limit(1).withColumn("dt", F.lit("1999-01-01")))) - usual
+    assert more == {("ads_country_rank", "date_count", "BLOCK"), ("ads_country_rank", "sales_match_lines", "BLOCK")}
+    preference = marts["ads_high_value_preference"]
+    assert failed(ads_high_value_preference=preference.unionByName(preference)) - usual == {("ads_high_value_preference", "doubled_keys", "BLOCK")}
+    contribution, levels = marts["ads_high_value_contribution"], marts["ads_level_distribution"]
+    assert failed(ads_high_value_contribution=contribution.withColumn("sales_contribution_pct", F.lit(101).cast("decimal(10,2)"))) - usual == {("ads_high_value_contribution", "share_in_range", "BLOCK")}
+    assert failed(ads_level_distribution=levels.withColumn("customer_cnt_pct", (F.col("customer_cnt_pct") + 1).cast("decimal(10,2)"))) - usual == {("ads_level_distribution", "shares_add_up", "BLOCK")}
+    assert ("dwd_retail_clean", "non_empty", "BLOCK") in {(r.table_name, r.check_item, r.check_level) for r in Q.mart_range_validation(dwd.where("false"), {n: m.where("false") for n, m in marts.items()}).collect() if r.check_status == "FAIL"}
 
 
 def test_replicated_table_is_whole(spark):
