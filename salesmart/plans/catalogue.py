@@ -184,6 +184,7 @@ _QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "ods_content_sample": lambda t: R.sample_rows(t.ods.where(F.col("dt") == DAY), *R.COLUMNS),
     "dwd_normalization_sample": lambda t: R.sample_rows(t.dwd.where(F.col("dt") == DAY).select(*_FIELDS), *_FIELDS, n=10),
     "dwd_quality_rules": lambda t: Q.dwd_quality_rules(t.dwd, t.ods),
+    "assert_gate": lambda t: Q.assert_gate(Q.dwd_quality_rules(t.dwd, t.ods), 6),
     "result_quality_rules": lambda t: Q.result_quality_rules(t.dwd, t.value, t.summary, t.contribution, t.distribution, t.rank, t.preference),
     "star_quality_rules": lambda t: t.star_rules,
     "quality_gate_summary": lambda t: Q.quality_gate_summary(Q.dwd_quality_rules(t.dwd, t.ods)),

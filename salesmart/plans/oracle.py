@@ -299,6 +299,7 @@ V["dwd_figures"] = f"SELECT * FROM (SELECT count(*) n, count(*) FILTER (quantity
 V["dwd_quality_rules"] = _gate([
     _none("DWD_001", "dwd_retail_clean", "quantity_positive", "q", "lines with quantity <= 0"), _none("DWD_002", "dwd_retail_clean", "price_positive", "p", "lines with price <= 0"), _none("DWD_003", "dwd_retail_clean", "customer_present", "cu", "lines without a customer"),
     _some("DWD_004", "dwd_retail_clean", "n"), _close("DWD_005", "dwd_retail_clean", "rows_match_ods", "n", "e", 0, "lines expected from the typed layer"), _none("DWD_006", "dwd_retail_clean", "time_parseable", "t", "lines whose time text doesn''t parse")], "dwd_figures")
+V["assert_gate"] = "SELECT * FROM dwd_quality_rules"
 V["result_figures"] = """SELECT * FROM (SELECT sum(amount) s0 FROM dwd_clean), (SELECT count(*) n1, sum(total_spent) s1 FROM dws_customer_value), (SELECT count(*) n2, sum(total_sales) s2 FROM dws_sales_summary), (SELECT count(*) n5, count(*) FILTER (sales_contribution_pct NOT BETWEEN 0 AND 100) bad FROM ads_high_value_contribution),
   (SELECT count(*) n6 FROM ads_level_distribution), (SELECT count(*) n7 FROM ads_country_rank), (SELECT count(*) n8 FROM ads_high_value_preference), (SELECT count(*) FILTER (abs(a - 100) > 0.05) a, count(*) FILTER (abs(b - 100) > 0.05) b FROM pct_sums)"""
 V["result_quality_rules"] = _gate([
