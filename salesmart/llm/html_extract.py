@@ -236,7 +236,7 @@ def extract(pages: DataFrame) -> DataFrame:
     over = Window.orderBy("range")  # one row a range
     edge = edge.select("range", F.lag("last").over(over).alias("e_before"), F.lead("first").over(over).alias("e_after"))
     own = Window.partitionBy("range").orderBy(*order)
-    near = heads.withColumn("before", F.lag(me).over(own)).withColumn("after", F.lead(me).over(own)).join(F.broadcast(edge), "range", "left")
+    near = heads.withColumn("before", F.lag(me).over(own)).withColumn("after", F.lead(me).over(own)).join(edge, "range", "left")
     near = near.join(runs.where("open").select("head").distinct(), "head", "left_semi")
     near = near.select("head", "hashes", "sizes", "host", F.array(F.coalesce("before", "e_before"), F.coalesce("after", "e_after")).alias("near"))
     near = near.withColumn("near", F.filter("near", lambda n: n.isNotNull() & (n["host"] == F.col("host"))))
