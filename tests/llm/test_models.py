@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesmart.llm import chat, html_extract, langid, order_minhash, packing, token_shards
+from salesmart.llm.common import work_dir
 from salesmart.llm.tokens import cuts, encoder
 
 from .data import EMPTY, SCHEMA, documents, words
@@ -397,6 +398,21 @@ def test_permutation():
     assert token_shards.permute(np.arange(1000), 1000, 3).tolist() != token_shards.permute(np.arange(1000), 1000, 4).tolist()
 
 
+def test_pieces_are_not_moved_for_their_slots(spark):
+    """The stored pieces are bucketed by the partition that made them, so that the join with the slots moves only slots."""
+    rows = spark.range(0, 1000, 1, 5).select("id", F.spark_partition_id().cast("long").alias("part"))
+    table = token_shards._stored(rows, work_dir(spark))
+    slots = spark.range(5).select(F.col("id").alias("part"), F.lit(1).alias("slots"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table(table).join(slots, "part")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000 and plan.count("Exchange hashpartitioning(part") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {table}")
+
+
 def test_shards(spark, tmp_path):
     docs = documents(6)
     df = spark.createDataFrame(docs, SCHEMA)
