@@ -27,6 +27,8 @@ from .common import partitions, text_or_empty
 
 #: Bytes of a repeated string, and of the sampled strings within it.
 WIDTH, K = 50, 20
+#: Documents of a block, whose runs a task holds at once.
+BLOCK = 2000
 #: Bytes of text of a share; there are no fewer shares than shuffle partitions.
 SHARE = 32 << 20
 #: Window starts handled at once in a long text, and windows compared at once.
@@ -97,6 +99,12 @@ _pack = lambda x: zstandard.ZstdCompressor(level=3).compress(x)
 _unpack = lambda x: zstandard.ZstdDecompressor().decompress(x)
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k in range(0, len(batch), BLOCK):
+            yield batch.iloc[k : k + BLOCK]
+
+
 def _grouped(batches: Iterator[pd.DataFrame], by: str) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of equal ``by`` from batches sorted by it."""
     held: list[tuple] = []
@@ -115,7 +123,7 @@ def _counts_out(shares: int):
     """Sampled hashes of each document, by share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _blocks(batches):
             order, key = batch["o"].to_numpy(np.int64), batch["h"].to_numpy(np.int64)
             block, hashes, docs = _block(order, key), [], []
             for i, text in enumerate(batch["text"]):
@@ -166,7 +174,7 @@ def _runs_out(shares: int):
     """Runs whose sample other documents have, by share; repeats inside the block are settled here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _blocks(batches):
             order, key = batch["o"].to_numpy(np.int64), batch["h"].to_numpy(np.int64)
             block = _block(order, key)
             least: dict[bytes, int] = {}
