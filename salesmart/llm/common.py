@@ -11,8 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
+#: Bytes of an Arrow batch of texts, in place of Spark's default, which a few Python workers of an executor don't hold.
+BATCH, _BATCH_KEY, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once for a Spark context, as --py-files would."""
+    """Send this package's modules to the executors, once for a Spark context, as --py-files would.
+
+    Also bounds the session's Arrow batches by ``BATCH`` bytes, where the session has no bound of its own.
+    """
+    if spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH)
     context = spark.sparkContext
     if getattr(context, "_corpus_shipped", False):
         return
