@@ -145,14 +145,11 @@ def fit(rows: list[tuple[str, list[str]]], params: Params = Params()) -> Model:
     w, b = np.zeros((params.dim, n)), np.zeros(n)
     prior = np.bincount([k for k, _ in train], minlength=n)
     share = prior.sum() / (n * np.maximum(prior, 1))  # languages weigh the same
-    features: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for epoch in range(params.epochs):
         for i in rng.permutation(len(train))[: params.steps]:
             k, text = train[i]
-            if i not in features:
-                ids, counts = np.unique(subwords(text, params)[0], return_counts=True)
-                features[i] = ids, counts / counts.sum()
-            ids, f = features[i]
+            ids, counts = np.unique(subwords(text, params)[0], return_counts=True)
+            f = counts / counts.sum()
             hidden = f @ e[ids]
             z = hidden @ w + b
             p = np.exp(z - z.max())
@@ -205,9 +202,11 @@ def calibrate(model: Model, train: list[tuple[int, str]], clean: list[tuple[int,
     model.usual = float(np.mean([share(t, model.seen) for _, t in clean]))
     good = [share(x, model.seen) for _, t in clean for x in (t, t[: params.segment // 8])]
     bad = []
-    for k, others in ((k, having - np.isin(np.arange(len(having)), x)) for k, x in enumerate(own)):
+    for k, x in enumerate(own):
+        others = model.seen.copy()
+        others[x] = having[x] > 1
         mine = [t for j, t in clean if j == k and len(t) >= params.segment]
-        bad += [share(t, others > 0) for t in mine] if len(own) > 1 else []
+        bad += [share(t, others) for t in mine] if len(own) > 1 else []
         bad += [share("".join(rng.permutation(list(t))), model.seen) for t in mine]
         bad += [share("".join(chr(ord(c) + 0x0A00) if c.isalpha() else c for c in t if ord(c) < 0xA000), model.seen) for t in mine]
     high = float(np.quantile(good, params.loss))
