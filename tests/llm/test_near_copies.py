@@ -41,6 +41,39 @@ def test_near_copies(spark, monkeypatch, bucket):
     assert got == want
 
 
+def test_cloud_below_the_limit(spark, monkeypatch):
+    """Many texts with one base, most pairs just below 0.8: all links are found, and few of the pairs are made."""
+    monkeypatch.setattr(near_copies, "BUCKET", 4)
+    rng = random.Random(14)
+    base, rows = words(rng, 64).split(" "), []
+    for i in range(240):
+        text = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            text[rng.randrange(len(text))] = words(rng, 1) + str(i)
+        rows.append((i, " ".join(text)))
+    made = []
+    plain = near_copies._by_rare_shingles
+    monkeypatch.setattr(near_copies, "_by_rare_shingles", lambda *a: (made.append(plain(*a).count()), plain(*a))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    label = brute_groups(rows)
+    got = {}
+    for r in near_copies.near_copies(df).collect():
+        got.setdefault(r.group, set()).add(r.doc_id)
+    want = {}
+    for i, g in label.items():
+        want.setdefault(g, set()).add(rows[i][0])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert made and made[0] < 240 * 239 / 2 / 4
+
+
+def test_parities_bound_the_difference():
+    rng = random.Random(15)
+    for n in (1, 5, 60, 3000):
+        x, y = (near_copies.shingles(words(rng, n) + " same words here for all of them " * 3) for _ in range(2))
+        bits = sum(int(v).bit_count() for v in (near_copies.parities(x) ^ near_copies.parities(y)).view("uint64"))
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_stage_drops_near_copies_beyond_three_bits(spark):
     """A text of 200 words with two words changed has a similarity over 0.8, whatever its SimHash."""
     rng = random.Random(6)
