@@ -6,8 +6,9 @@ prices the columns by a knapsack dynamic program under the rows' weights, takes
 row, as much of it as the row is short of, and lowers the weights of what was covered. Any weights bound the
 program from below, so the rounds stop when the bound meets what is covered. Rounding gives whole multiples
 that hold no item twice; what they leave is solved and rounded again, and in the end placed best fit, longest
-first. Where plain best fit of everything needs no more sequences, that is taken. Only the histogram (at most one entry a length) reaches the driver, and the plan's
-cost grows with the number of lengths, not with their counts; pieces meet their places by rank among equals.
+first. Where plain best fit of everything needs no more sequences, that is taken. Only the histogram (at most
+one entry a length) reaches the driver, and the plan's cost grows with the number of lengths, not with their
+counts; pieces meet their places by rank among equals.
 """
 
 from __future__ import annotations
