@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, html_extract, langid, order_minhash, packing, secret_scan, simhash, suffix_dedup, token_shards
+from . import chat, decontaminate, html_extract, langid, order_minhash, packing, periodic_runs, piece_encoding, secret_scan, simhash, suffix_dedup, token_alignment, token_shards
 from .common import ship, work_dir
 
 
@@ -81,8 +81,25 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contained(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+@_shipped
+def op11_encode_pieces(spark, sf_dir):
+    made = piece_encoding.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+@_shipped
+def op12_align_tokens(spark, sf_dir):
+    return token_alignment.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_shipped
+def op13_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.planted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
 def queries() -> dict:
-    found = [op1_pack_sequences, op2_order_minhash, op3_format_chats, op4_simhash_near_duplicates, op5_scan_secrets, op6_suffix_dedup, op7_extract_pages, op8_identify_language, op9_token_shards, op10_decontaminate]
+    found = [op1_pack_sequences, op2_order_minhash, op3_format_chats, op4_simhash_near_duplicates, op5_scan_secrets, op6_suffix_dedup, op7_extract_pages, op8_identify_language, op9_token_shards, op10_decontaminate, op11_encode_pieces, op12_align_tokens, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 

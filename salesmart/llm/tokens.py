@@ -18,6 +18,24 @@ from .common import text_or_empty
 SEQUENCE, END = 2048, 0
 
 
+def _fast(vocabulary: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken")) as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
+def byte_tokens(vocabulary: str):
+    """text -> list of ids, special tokens' strings being plain text, and the bytes of every id."""
+    fast, ranks = _fast(vocabulary)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    return fast.encode_ordinary, tokens
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
     """text -> ids of ``vocabulary``.json.
@@ -26,12 +44,9 @@ def encoder(vocabulary: str):
     time; texts with the special token's string go through the tokenizer itself.
     """
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(f"{vocabulary}.tiktoken")) as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast, _ = _fast(vocabulary)
     whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
     def encode(text: str) -> np.ndarray:
