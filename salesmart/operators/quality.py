@@ -348,19 +348,26 @@ def alltime_quality_summary(rules: DataFrame) -> DataFrame:
     return rules.agg(F.count(F.lit(1)).alias("check_cnt"), F.count_if(~F.col("is_pass")).alias("failed_cnt"), failed.alias("failed_checks")).withColumn("overall_status", F.when(F.col("failed_cnt") == 0, "PASS").otherwise("FAIL"))
 
 
-def table_fingerprint(tables: dict[str, DataFrame], method: str = "md5") -> DataFrame:
-    """Order-free fingerprint of each table: rows, and sums of a hash of each row's text and its reverse.
+def row_hashes(df: DataFrame, method: str = "md5") -> tuple[Column, Column]:
+    """Sums over ``df`` of a hash of each row's text and of the reverse: columns by name, nulls as <NULL>.
 
-    ``method`` is md5 (first eight hex digits) or crc32. Columns are taken by name, nulls as <NULL>.
+    ``method`` is md5 (first eight hex digits) or crc32. The sums of two sets of rows add up to that of both.
     """
-    def h(s: Column) -> Column:
-        return (F.conv(F.substring(F.md5(s), 1, 8), 16, 10) if method == "md5" else F.crc32(s)).cast("decimal(20,0)")
+    row = F.concat_ws("#|#", *[F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in sorted(df.columns)])
+
+    def total(s: Column) -> Column:
+        h = F.conv(F.substring(F.md5(s), 1, 8), 16, 10) if method == "md5" else F.crc32(s)
+        return F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
+
+    return total(row), total(F.reverse(row))
 
+
+def table_fingerprint(tables: dict[str, DataFrame], method: str = "md5") -> DataFrame:
+    """Order-free fingerprint of each table: rows, and the sums of ``row_hashes``."""
     parts = []
     for name, t in sorted(tables.items()):
-        row = F.concat_ws("#|#", *[F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in sorted(t.columns)])
-        s = t.select(row.alias("s"))
-        parts.append(s.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_cnt"), F.coalesce(F.sum(h(F.col("s"))), F.lit(0)).cast("decimal(38,0)").alias("hash_sum"), F.coalesce(F.sum(h(F.reverse("s"))), F.lit(0)).cast("decimal(38,0)").alias("reverse_hash_sum")))
+        forward, backward = row_hashes(t, method)
+        parts.append(t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_cnt"), forward.alias("hash_sum"), backward.alias("reverse_hash_sum")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.parsing import blank
 from .marts import latest_description
+from .ordered import asof_merge
 
 OPEN_END = "9999-12-31"
 
@@ -21,8 +22,8 @@ def daily_customer_country(dwd: DataFrame) -> DataFrame:
     return last.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("dt", "customerid", "country")
 
 
-def _key(*parts) -> F.Column:
-    return F.md5(F.concat_ws("|", *parts))
+def version_key(customer, country, start) -> F.Column:
+    return F.md5(F.concat_ws("|", customer, country, start))
 
 
 def scd2_history(daily: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def scd2_history(daily: DataFrame) -> DataFrame:
     opened = daily.withColumn("_prev", F.lag("country").over(w)).where(~F.col("country").eqNullSafe(F.col("_prev")))
     nxt = F.lead("dt").over(w)
     return opened.withColumn("_next", nxt).select(
-        _key("customerid", "country", "dt").alias("user_id"), "customerid", "country", F.to_date("dt").alias("start_date"),
+        version_key("customerid", "country", "dt").alias("user_id"), "customerid", "country", F.to_date("dt").alias("start_date"),
         F.coalesce(F.date_sub(F.to_date("_next"), 1), F.to_date(F.lit(OPEN_END))).alias("end_date"), F.col("_next").isNull().alias("is_current"),
     )
 
@@ -94,17 +95,21 @@ def dim_date(dwd: DataFrame) -> DataFrame:
     )
 
 
-def fact_order(dwd: DataFrame, history: DataFrame, product: DataFrame, date: DataFrame, geo: DataFrame) -> DataFrame:
+def fact_order(dwd: DataFrame, history: DataFrame, product: DataFrame, date: DataFrame, geo: DataFrame, asof: bool = False) -> DataFrame:
     """One row a sale line with its keys; identical lines are told apart by their number.
 
     The customer version is the one valid on the line's day: an equi-join on the customer with a range
-    condition on the dates.
+    condition on the dates. With ``asof`` lines and versions are merged in order of time instead, for customers
+    with very many versions or lines; versions must not overlap.
     """
     same = ["invoice", "customerid", "country", "stockcode", "dt", "quantity", "amount"]
     b = dwd.select(*same).withColumn("_seq", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
     b = b.withColumn("_day", F.to_date("dt"))
     h = history.select("customerid", "user_id", "start_date", "end_date")
-    f = b.join(h, (b["customerid"] == h["customerid"]) & (b["_day"] >= h["start_date"]) & (b["_day"] <= h["end_date"])).drop(h["customerid"])
+    if asof:
+        f = asof_merge(b, h, "customerid", "_day", "start_date", ["user_id", "end_date"]).where("_day <= end_date")
+    else:
+        f = b.join(h, (b["customerid"] == h["customerid"]) & (b["_day"] >= h["start_date"]) & (b["_day"] <= h["end_date"])).drop(h["customerid"])
     f = f.join(product.select("dt", "stockcode", "product_id"), ["dt", "stockcode"]).join(geo.select("dt", "country", "geo_id"), ["dt", "country"]).join(date.select("dt", "date_id"), "dt")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return f.select(

@@ -7,9 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import analytics as A, layers as L, marts as M, quality as Q, serving as V, star as S
-from ..sources import retail as R
-from ..sources import sinks
+from ..operators import analytics as A, distincts as B, gate_log as G, idempotency as I, increments as N, layers as L, marts as M, ordered as O, quality as Q, serving as V, skew as K, star as S
+from ..sources import retail as R, sinks, versions as P
 from ..sources.sinks import scratch, stored
 from . import oracle
 
@@ -56,7 +55,7 @@ class Context:
     dwd = cached_property(lambda t: t.layer("dwd", lambda: L.dwd_clean(t.ods)))
     simple = cached_property(lambda t: t.layer("simple", lambda: L.clean_simple(t.ods)))
     value = cached_property(lambda t: t.layer("value", lambda: M.dws_customer_value(t.dwd)))
-    summary = cached_property(lambda t: M.dws_sales_summary(t.dwd))
+    summary = cached_property(lambda t: t.layer("summary", lambda: M.dws_sales_summary(t.dwd)))
     contribution = cached_property(lambda t: M.ads_high_value_contribution(t.dwd, t.value))
     distribution = cached_property(lambda t: M.ads_level_distribution(t.value))
     rank = cached_property(lambda t: M.ads_country_rank(t.summary))
@@ -73,6 +72,20 @@ class Context:
     serving = cached_property(lambda t: t.overview.withColumn("source_system", oracle.source_of("dt")))
     anomaly_serving = cached_property(lambda t: t.anomaly.withColumn("source_system", oracle.source_of("dt")))
 
+    @cached_property
+    def refreshed(self) -> tuple[dict[str, str], DataFrame]:
+        """Tables by date of all but the late lines, refreshed after these came in: their folders, and the scope."""
+        def build() -> tuple[dict[str, str], DataFrame]:
+            late = F.col("dt").isin(*oracle.LATE_DAYS) & F.col("invoice").rlike("[37]$")
+            early, delta = stored(self.dwd.where(~late)), self.dwd.where(late)
+            history = stored(S.scd2_history(S.daily_customer_country(early)))
+            overview = stored(M.ads_sales_overview(early))
+            tables = {"overview": overview, "anomaly": M.ads_sales_anomaly(overview), "fact": S.fact_order(early, history, S.dim_product(early), S.dim_date(early), S.dim_geo(early))}
+            paths = {n: _by_date(df) for n, df in tables.items()}
+            return paths, N.refresh_late(self.dwd, delta, history, paths)[0]
+
+        return self.layer("refreshed", build, table=False)
+
     @cached_property
     def marts(self) -> dict[str, DataFrame]:
         return {"dws_customer_value": self.value, "dws_sales_summary": self.summary, "ads_high_value_contribution": self.contribution, "ads_level_distribution": self.distribution, "ads_country_rank": self.rank, "ads_high_value_preference": self.preference}
@@ -89,6 +102,13 @@ class Context:
         return Q.alltime_quality_rules(c, results)
 
 
+def _by_date(df: DataFrame) -> str:
+    """``df`` as a new table partitioned by dt; returns its folder."""
+    path = scratch(df.sparkSession)
+    df.hint("rebalance", "dt").write.partitionBy("dt").parquet(path)
+    return path
+
+
 def _changed_overview(t: Context) -> DataFrame:
     """The overview with some days missing and some sums changed, to reconcile with."""
     o = t.overview.where("not dt like '%5'")
@@ -137,6 +157,125 @@ def _guard(t: Context) -> DataFrame:
     return out
 
 
+def _appended(t: Context) -> DataFrame:
+    """The last snapshot after the last days were appended one by one to the snapshot before them."""
+    days = [r["dt"] for r in t.dwd.select("dt").distinct().orderBy(F.desc("dt")).limit(oracle.APPENDED + 1).collect()][::-1]
+    lines, snapshots = _by_date(t.dwd.where(F.col("dt") > days[0])), scratch(t.spark)
+    sinks.overwrite_partition(S.scd2_snapshot(t.history, days[0]), snapshots, days[0])
+    for day in days[1:]:
+        N.append_snapshot(t.spark, lines, snapshots, day)
+    return t.spark.read.parquet(f"{snapshots}/dt={days[-1]}").withColumn("dt", F.lit(days[-1]))
+
+
+def _changes(t: Context) -> DataFrame:
+    return N.scd2_changes(S.scd2_snapshot(t.history, oracle.DAY_BEFORE), t.daily.where(F.col("dt") == DAY), DAY)
+
+
+def _refreshed_rows(t: Context, table: str) -> DataFrame:
+    return t.spark.read.parquet(t.refreshed[0][table]).withColumn("dt", F.col("dt").cast("string"))
+
+
+def _spoiled(rows: DataFrame, path: str) -> None:
+    """A writer that loses some days and counts one order too many on others."""
+    rows.where("not dt like '%5'").withColumn("total_orders", F.when(F.col("dt").like("%7"), F.col("total_orders") + 1).otherwise(F.col("total_orders"))).write.parquet(path)
+
+
+def _published(t: Context, refused: bool) -> DataFrame:
+    """What readers see after two versions and a spoiled third; or what was found wrong with the third."""
+    root = scratch(t.spark)
+    source = "retail_canonical"
+    P.publish(t.overview.where(F.col("dt") <= END).withColumn("source_system", F.lit(source)), root, "dt")
+    incoming = t.overview.where(F.col("dt") >= START).withColumn("total_sales", (F.col("total_sales") + 1).cast("decimal(18,2)"))
+    P.publish_upsert(incoming, root, source)
+    try:
+        P.publish_upsert(t.overview.where(F.col("dt") >= START), root, source, write=_spoiled)
+    except P.Mismatch as e:
+        if refused:
+            return e.differences
+    return P.read_current(t.spark, root).withColumn("version", F.lit(P.current_version(t.spark, root)))
+
+
+def _rerun(t: Context, faulty: bool) -> DataFrame:
+    """Fingerprints by date before and after two days of lines and overview are built again."""
+    tables = {"dwd_retail_clean": t.dwd, "ads_sales_overview": t.overview}
+    paths = {name: _by_date(table) for name, table in tables.items()}
+    before = None
+    for name, table in tables.items():
+        prints = I.partition_fingerprints(name, table)
+        before = prints if before is None else before.unionByName(prints)
+    before = stored(before)
+    dates = [r["dt"] for r in L.t1_window(t.dwd, DAY).collect()]
+    lines = stored(L.dwd_clean(t.ods.where(F.col("dt").isin(dates))))
+    if faulty:
+        lines = lines.withColumn("quantity", F.when(F.col("invoice").like("%1"), F.col("quantity") + 1).otherwise(F.col("quantity")))
+    sinks.overwrite_dates(lines, paths["dwd_retail_clean"], dates)
+    sinks.overwrite_dates(M.ads_sales_overview(lines), paths["ads_sales_overview"], dates)
+    new = None
+    for name, path in paths.items():
+        prints = I.rewritten_fingerprints(t.spark, name, path, dates)
+        new = prints if new is None else new.unionByName(prints)
+    return I.idempotency_check(before, new, dates)
+
+
+def _gate_log(t: Context) -> str:
+    """A log of the clean lines' gate on several dates: passed, failed and then rerun, failed, cut short, and none."""
+    def build() -> str:
+        path = scratch(t.spark)
+        rules = Q.dwd_quality_rules(t.dwd, t.ods)
+        result = stored(rules)
+        failed = result.withColumn("abnormal_cnt", F.when(F.col("rule_code") == "DWD_002", 3).otherwise(F.col("abnormal_cnt")).cast("long")).withColumn("check_status", F.when(F.col("rule_code") == "DWD_002", "FAIL").otherwise(F.col("check_status")))
+        passed, rerun, bad, short, _ = oracle.GATE_DAYS
+        G.write_gate(result, path, passed, "dwd", 1)
+        G.write_gate(failed, path, rerun, "dwd", 1)
+        G.write_gate(failed, path, rerun, "dwd", 2)
+        G.write_gate(result, path, rerun, "dwd", 2)  # the same run again takes the place of its result
+        G.write_gate(result, path, bad, "dwd", 1)
+        G.write_gate(failed, path, bad, "dwd", 2)
+        G.write_gate(result.where("rule_code <> 'DWD_006'"), path, short, "dwd", 1)
+        return path
+
+    return t.layer("gate_log", build, table=False)
+
+
+def _expected_gates(t: Context) -> DataFrame:
+    return t.spark.createDataFrame([(d, "dwd", 6) for d in oracle.GATE_DAYS], "dt string, gate string, rules int")
+
+
+def _load_states(t: Context) -> DataFrame:
+    """The load state of the seven star tables, as stored by date, in every case: complete, behind, empty, and by the last gate."""
+    spark, day = t.spark, F.col("dt") == DAY
+    users = S.scd2_snapshot(t.history, DAY)
+    tables = {"dim_user": users, "dim_product": t.product.where(day), "dim_date": t.date.where(day), "dim_geo": t.geo.where(day), "fact_order": t.fact.where(day), "dws_customer_value_star": t.star.where(day)}
+    gates = G.gate_states(G.read_log(spark, _gate_log(t)), _expected_gates(t))
+    paths = {n: scratch(spark) for n in [*tables, "star_quality_log"]}
+    for n, df in tables.items():
+        sinks.overwrite_partition(df, paths[n], DAY)
+    G.write_gate(Q.dwd_quality_rules(t.dwd, t.ods), paths["star_quality_log"], DAY, "dwd", 1)
+    found = G.table_partitions(spark, paths)
+    tops = found.groupBy("table_name").agg(F.max("dt").alias("max_dt"))
+    first = t.dwd.agg(F.min("dt").alias("d")).first()["d"]
+    at = lambda day: tops.withColumn("max_dt", F.lit(day).cast("string"))
+    one = lambda name, value: F.when(F.col("table_name") == name, F.lit(value).cast("string")).otherwise(F.col("max_dt"))
+    passed, rerun, bad, short, none = oracle.GATE_DAYS
+    cases = {
+        "append": G.load_state(tops, 7, first, START), "append_gate_passed": G.load_state(at(passed), 7, first, START, gates), "append_gate_rerun": G.load_state(at(rerun), 7, first, START, gates),
+        "gate_failed": G.load_state(at(bad), 7, first, START, gates), "gate_incomplete": G.load_state(at(short), 7, first, START, gates), "gate_missing": G.load_state(at(none), 7, first, START, gates),
+        "behind": G.load_state(tops.withColumn("max_dt", one("fact_order", START)), 7, first, START), "partial": G.load_state(tops.withColumn("max_dt", one("dim_user", None)), 7, first, START),
+        "initial": G.load_state(at(None), 7, first, first), "initial_late": G.load_state(at(None), 7, first, END),
+    }
+    out = None
+    for name, row in cases.items():
+        row = row.select(F.lit(name).alias("case"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _bitmaps(t: Context) -> tuple[DataFrame, DataFrame]:
+    """Stored days of the simple lines: bitmaps of invoices and customers, and sums."""
+    numbers = {c: t.layer(f"numbers_{c}", lambda c=c: B.dictionary(t.simple, c)) for c in ("invoice", "customerid")}
+    return t.layer("bitmaps", lambda: B.daily_bitmaps(t.simple, numbers)), t.layer("day_sums", lambda: B.daily_sums(t.simple))
+
+
 _QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "read_retail_csv": lambda t: t.csv,
     "ods_raw": lambda t: L.ods_raw(t.csv, BATCH),
@@ -205,6 +344,25 @@ _QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "overview_by_date": lambda t: V.overview_by_date(t.serving, DAY),
     "overview_trend": lambda t: V.overview_trend(t.serving, DAY[:8] + "01", DAY[:8] + "30"),
     "overview_comparison": lambda t: V.overview_comparison(t.serving),
+    "scd2_append": _appended,
+    "scd2_append_changes": _changes,
+    "late_refresh_scope": lambda t: t.refreshed[1],
+    "late_refresh_overview": lambda t: _refreshed_rows(t, "overview"),
+    "late_refresh_anomaly": lambda t: _refreshed_rows(t, "anomaly"),
+    "late_refresh_facts": lambda t: _refreshed_rows(t, "fact"),
+    "verified_publish": lambda t: _published(t, False),
+    "verified_publish_refused": lambda t: _published(t, True),
+    "idempotency_check": lambda t: _rerun(t, False),
+    "idempotency_check_changed": lambda t: _rerun(t, True),
+    "gate_log": lambda t: G.latest(G.read_log(t.spark, _gate_log(t))),
+    "gate_states": lambda t: G.gate_states(G.read_log(t.spark, _gate_log(t)), _expected_gates(t)),
+    "star_load_states": _load_states,
+    "dws_sales_summary_hitters": lambda t: K.sales_summary_by_hitters(t.dwd, share=0.005),
+    "customer_cumulative_spend_ranged": lambda t: O.prefix_sums(t.simple.select("customerid", "invoice", "stockcode", "invoicedate", "amount"), "customerid", "invoicedate", "amount", "cumulative_spent"),
+    "fact_order_asof": lambda t: S.fact_order(t.dwd, t.history, t.product, t.date, t.geo, asof=True),
+    "monthly_sales_trend_bitmaps": lambda t: B.monthly_trend(*_bitmaps(t)),
+    "kpi_summary_bitmaps": lambda t: B.alltime_summary(*_bitmaps(t)),
+    "replicate_dataset_numbered": lambda t: R.replicate_dataset(t.retail, 2, trim=True, numbered=True),
     "anomaly_list": lambda t: V.anomaly_list(t.anomaly_serving, "retail_canonical", START, END),
 }
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, functions as F
 # Parameters of registered queries.
 BATCH, DAY, START, END = "2026-04-08", "1998-06-30", "1998-01-01", "1999-12-31"
 FIRST_DAY, LAST_DAY, EXPECTED_RAW = "1995-01-01", "2001-08-01", 60000
+DAY_BEFORE, APPENDED = "1998-06-29", 5
+LATE_DAYS = ("1996-03-04", "1996-03-05", "1998-06-30")
+GATE_DAYS = ("1998-06-26", "1998-06-27", "1998-06-28", "1998-06-29", "1998-06-30")
 GUARD_DAYS = ("1998-06-29", "1998-07-01", "1998-07-05")
 ALLTIME_RESULTS = (
     "top10_products", "repeat_purchase_summary", "monthly_sales_trend", "monthly_growth", "high_value_customers", "country_rank_alltime", "customer_revenue_concentration", "country_value_analysis",
@@ -182,6 +185,30 @@ V: dict[str, str] = {
       FROM (SELECT max(dt) FILTER (dt <= '{DAY}') m, min(dt) FILTER (dt > '{DAY}') n FROM dwd_clean)""" for d in GUARD_DAYS),
     "star_partition_state": """SELECT count(*) FILTER (m IS NULL) AS empty_tables, min(m) AS min_dt, max(m) AS max_dt, (SELECT min(dt) FROM dwd_clean) AS first_dwd_dt, CASE WHEN count(m) = 3 AND min(m) = max(m) THEN 'APPEND' WHEN count(m) = 3 THEN 'BLOCK_PARTITION_MISMATCH' ELSE 'BLOCK_PARTIAL_DATE' END AS state
       FROM (SELECT max(dt) m FROM dim_product UNION ALL SELECT max(dt) FROM dim_geo UNION ALL SELECT max(dt) FROM dim_date)""",
+    # upkeep
+    "scd2_append": "SELECT *, (SELECT max(dt) FROM dwd_clean) AS dt FROM scd2_history",
+    "scd2_append_changes": f"SELECT *, CASE WHEN start_date = DATE '{DAY}' THEN 'new' WHEN is_current THEN 'unchanged' WHEN end_date = DATE '{DAY}' - INTERVAL 1 DAY THEN 'closing' ELSE 'closed' END AS change FROM scd2_snapshot",
+    "delta": f"SELECT * FROM dwd_clean WHERE dt IN {LATE_DAYS} AND regexp_matches(invoice, '[37]$')",
+    "early": f"SELECT * FROM dwd_clean WHERE NOT (dt IN {LATE_DAYS} AND regexp_matches(invoice, '[37]$'))",
+    "early_daily": "SELECT dt, customerid, country FROM (SELECT *, row_number() OVER (PARTITION BY dt, customerid ORDER BY invoicedate DESC, country) rn FROM early) WHERE rn = 1",
+    "early_opened": "SELECT * FROM (SELECT *, lag(country) OVER (PARTITION BY customerid ORDER BY dt) AS pc FROM early_daily) WHERE pc IS DISTINCT FROM country",
+    "early_history": "SELECT md5(customerid || '|' || country || '|' || dt) AS user_id, customerid, CAST(dt AS DATE) AS start_date, coalesce(CAST(CAST(nx AS DATE) - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') AS end_date FROM (SELECT *, lead(dt) OVER (PARTITION BY customerid ORDER BY dt) AS nx FROM early_opened)",
+    "moved_versions": "SELECT customerid, start_date, end_date FROM early_history WHERE user_id NOT IN (SELECT user_id FROM scd2_history) UNION ALL SELECT customerid, start_date, end_date FROM scd2_history WHERE user_id NOT IN (SELECT user_id FROM early_history)",
+    "late_refresh_scope": """SELECT DISTINCT 'same_day' AS rule, dt FROM delta UNION SELECT 'next_day', dt FROM delta UNION SELECT 'next_day', (SELECT min(d.dt) FROM dwd_clean d WHERE d.dt > x.dt) FROM (SELECT DISTINCT dt FROM delta) x
+      UNION SELECT 'versions', dt FROM delta UNION SELECT 'versions', d.dt FROM dwd_clean d JOIN moved_versions v ON d.customerid = v.customerid AND CAST(d.dt AS DATE) BETWEEN v.start_date AND v.end_date""",
+    "late_refresh_overview": "SELECT * FROM ads_sales_overview",
+    "late_refresh_anomaly": "SELECT * FROM ads_sales_anomaly",
+    "late_refresh_facts": "SELECT * FROM fact_order",
+    "verified_publish": "SELECT *, 2 AS version FROM serving_upsert",
+    "third": f"SELECT *, 'retail_canonical' AS source_system FROM ads_sales_overview",
+    "verified_publish_refused": "SELECT dt, 'missing_right' AS diff_kind, NULL::VARCHAR AS column_name, NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value FROM third WHERE dt LIKE '%5' UNION ALL SELECT dt, 'mismatch', 'total_orders', total_orders::VARCHAR, (total_orders + 1)::VARCHAR FROM third WHERE dt LIKE '%7'",
+    "dws_sales_summary_hitters": "SELECT * FROM dws_sales_summary",
+    "customer_cumulative_spend_ranged": "SELECT * FROM customer_cumulative_spend",
+    "fact_order_asof": "SELECT * FROM fact_order",
+    "monthly_sales_trend_bitmaps": "SELECT * FROM monthly_sales_trend",
+    "kpi_summary_bitmaps": "SELECT * FROM kpi_summary",
+    "replicate_dataset_numbered": f"""SELECT {', '.join(_TEXTS)}, row_number() OVER (PARTITION BY n ORDER BY {', '.join(_TEXTS)}) AS source_row_id, CAST(n AS INTEGER) AS source_copy_id
+      FROM (SELECT {', '.join(f'trim({x}) AS {x}' for x in _TEXTS)} FROM retail), range(1, 3) r(n)""",
     # quality
     "ods_ingestion_balance": f"""SELECT *, source_cnt = raw_cnt AS source_pass, raw_cnt = expected_ods_cnt + expected_reject_cnt + expected_other_date_cnt AS balance_pass, ods_cnt = expected_ods_cnt AS ods_pass, reject_cnt = expected_reject_cnt AS reject_pass FROM
       (SELECT count(*) AS raw_cnt, count(*) FILTER (ok AND d = '{DAY}') AS expected_ods_cnt, count(*) FILTER (NOT ok) AS expected_reject_cnt, count(*) FILTER (ok AND d <> '{DAY}') AS expected_other_date_cnt FROM (SELECT ts IS NOT NULL AND pq IS NOT NULL AND pp IS NOT NULL AS ok, strftime(ts, '%Y-%m-%d') AS d FROM parsed)),
@@ -325,6 +352,40 @@ def _needs(sql: str) -> list[str]:
     return [n for n in V if re.search(rf"(?:FROM|JOIN|,)\s*\(?{n}\b", sql)]
 
 
+def _rerun(faulty: bool) -> str:
+    """Fingerprints of the lines and the overview, and of what the rerun of two days makes of them."""
+    days = f"('{DAY_BEFORE}', '{DAY}')"
+    quantity = f"CASE WHEN dt IN {days} AND invoice LIKE '%1' THEN quantity + 1 ELSE quantity END" if faulty else "quantity"
+    overview = ", ".join(("total_sales", "total_orders", "total_customers", f"total_quantity + {f'coalesce((SELECT count(*) FROM dwd_clean d WHERE d.dt = o.dt AND d.dt IN {days} AND d.invoice LIKE {chr(39)}%1{chr(39)}), 0)' if faulty else '0'} AS total_quantity", "avg_order_value", "dt"))
+    parts = []
+    for name, columns, before, after in (
+        ("dwd_retail_clean", _ODS | {"amount": ""}, "dwd_clean", f"(SELECT * REPLACE ({quantity} AS quantity) FROM dwd_clean)"),
+        ("ads_sales_overview", dict.fromkeys(("total_sales", "total_orders", "total_customers", "total_quantity", "avg_order_value", "dt"), ""), "ads_sales_overview", f"(SELECT {overview} FROM ads_sales_overview o)"),
+    ):
+        b, n = _print(columns, name, before), _print(columns, name, after)
+        parts.append(f"""SELECT b.table_name, b.row_cnt AS row_cnt_before, b.hash_sum AS hash_sum_before, b.reverse_hash_sum AS reverse_hash_sum_before, n.row_cnt AS row_cnt_after, n.hash_sum AS hash_sum_after, n.reverse_hash_sum AS reverse_hash_sum_after,
+          (SELECT count(DISTINCT dt) FROM dwd_clean WHERE dt IN {days}) AS rewritten_cnt, {f"(SELECT count(DISTINCT dt) FROM dwd_clean WHERE dt IN {days} AND invoice LIKE '%1')" if faulty else "0::BIGINT"} AS changed_cnt FROM ({b}) b, ({n}) n""")
+    return f"SELECT *, CASE WHEN changed_cnt = 0 THEN 'PASS' ELSE 'FAIL' END AS check_result FROM ({' UNION ALL '.join(parts)})"
+
+
+V["idempotency_check"], V["idempotency_check_changed"] = _rerun(False), _rerun(True)
+V["failed_rules"] = "SELECT * REPLACE (CASE WHEN rule_code = 'DWD_002' THEN 3 ELSE abnormal_cnt END AS abnormal_cnt, CASE WHEN rule_code = 'DWD_002' THEN 'FAIL' ELSE check_status END AS check_status) FROM dwd_quality_rules"
+V["gate_log"] = " UNION ALL ".join(f"SELECT *, '{d}' AS dt, 'dwd' AS gate, {run} AS run FROM {of}" for d, run, of in (
+    (GATE_DAYS[0], 1, "dwd_quality_rules"), (GATE_DAYS[1], 2, "dwd_quality_rules"), (GATE_DAYS[2], 2, "failed_rules"), (GATE_DAYS[3], 1, "(SELECT * FROM dwd_quality_rules WHERE rule_code <> 'DWD_006')")))
+V["gate_states"] = f"""SELECT x.dt, 'dwd' AS gate, any_value(run) AS run, count(rule_code) AS rule_cnt, count(DISTINCT rule_code) AS distinct_rule_cnt, count(*) FILTER (check_level = 'BLOCK' AND check_status = 'PASS') AS block_pass_cnt, count(*) FILTER (check_level = 'BLOCK' AND check_status = 'FAIL') AS block_fail_cnt,
+  count(*) FILTER (check_level = 'WARN' AND check_status = 'FAIL') AS warn_cnt, CASE WHEN count(rule_code) = 0 THEN 'MISSING' WHEN count(rule_code) <> 6 OR count(DISTINCT rule_code) <> 6 THEN 'INCOMPLETE' WHEN count(*) FILTER (check_level = 'BLOCK' AND check_status <> 'PASS') > 0 THEN 'FAILED' ELSE 'PASS' END AS gate_state
+  FROM (SELECT unnest([{', '.join(repr(d) for d in GATE_DAYS)}]) AS dt) x LEFT JOIN gate_log g ON g.dt = x.dt GROUP BY x.dt"""
+#: The load state by case: empty tables, least and greatest date, gate state, state.
+_CASES = {
+    "append": ("0", DAY, DAY, "'PASS'", "'APPEND'"), "append_gate_passed": ("0", GATE_DAYS[0], GATE_DAYS[0], None, "'APPEND'"), "append_gate_rerun": ("0", GATE_DAYS[1], GATE_DAYS[1], None, "'APPEND'"),
+    "gate_failed": ("0", GATE_DAYS[2], GATE_DAYS[2], None, "'BLOCK_QUALITY_FAILED'"), "gate_incomplete": ("0", GATE_DAYS[3], GATE_DAYS[3], None, "'BLOCK_QUALITY_INCOMPLETE'"), "gate_missing": ("0", GATE_DAYS[4], GATE_DAYS[4], None, "'BLOCK_QUALITY_MISSING'"),
+    "behind": ("0", START, DAY, "'PASS'", "'BLOCK_PARTITION_MISMATCH'"), "partial": ("1", DAY, DAY, "NULL", "'BLOCK_PARTIAL_DATE'"), "initial": ("7", None, None, "NULL", "'INITIAL'"), "initial_late": ("7", None, None, "NULL", "'BLOCK_INITIAL_START'"),
+}
+V["star_load_states"] = " UNION ALL ".join(
+    f"""SELECT '{case}' AS "case", {n}::BIGINT AS empty_tables, {f"'{low}'" if low else 'NULL::VARCHAR'} AS min_dt, {f"'{high}'" if high else 'NULL::VARCHAR'} AS max_dt, (SELECT min(dt) FROM dwd_clean) AS first_dwd_dt, {gate or f"(SELECT gate_state FROM gate_states WHERE dt = '{high}')"}::VARCHAR AS gate_state, {state} AS state"""
+    for case, (n, low, high, gate, state) in _CASES.items())
+
+
 def statements() -> dict[str, str]:
     """Each query with the views it stands on, as one statement."""
     def chain(name: str, seen: list[str]) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.parsing import parse_invoice_ts
+from ..operators.ordered import dense_numbers
 
 COLUMNS = ("invoice", "stockcode", "description", "quantity", "invoicedate", "price", "customerid", "country")
 
@@ -56,19 +57,23 @@ def retail_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def replicate_dataset(retail: DataFrame, copies: int, shift_years: int = 0, trim: bool = False, lineage: bool = False) -> DataFrame:
+def replicate_dataset(retail: DataFrame, copies: int, shift_years: int = 0, trim: bool = False, lineage: bool = False, numbered: bool = False) -> DataFrame:
     """``copies`` of every row; copy i is shifted by (i-1)*shift_years whole years, as yyyy-MM-dd HH:mm:ss text.
 
     With a shift, a date that can't be parsed is an error when the rows are computed. ``trim`` trims the
     text columns; ``lineage`` adds source_copy_id and source_row_id (a hash of the row, the same in every
-    copy). The copies come from an exploded range, so nothing is shuffled.
+    copy). The copies come from an exploded range, so nothing is shuffled. With ``numbered`` source_row_id is
+    the row's number from 1 in the order of all columns instead, so that equal rows are told apart; rows are
+    numbered by ranges, before they are copied.
     """
     if copies < 1:
         raise ValueError("copies must be at least 1")
     out = retail
     if trim:
         out = out.select(*[F.trim(c).alias(c) for c in COLUMNS])
-    if lineage:
+    if numbered:
+        out = dense_numbers(out.select(*COLUMNS), list(COLUMNS), "source_row_id")
+    elif lineage:
         out = out.withColumn("source_row_id", F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("<NULL>")) for c in COLUMNS])))
     out = out.withColumn("source_copy_id", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     if shift_years:
@@ -76,7 +81,7 @@ def replicate_dataset(retail: DataFrame, copies: int, shift_years: int = 0, trim
         checked = F.when(ts.isNull(), F.raise_error(F.concat(F.lit("a date to shift can't be parsed: "), F.coalesce("invoicedate", F.lit("null")))).cast("timestamp")).otherwise(ts)
         moved = F.add_months(checked.cast("date"), (F.col("source_copy_id") - 1) * 12 * shift_years)
         out = out.withColumn("invoicedate", F.concat_ws(" ", F.date_format(moved, "yyyy-MM-dd"), F.date_format(checked, "HH:mm:ss")))
-    return out if lineage else out.drop("source_copy_id")
+    return out if lineage or numbered else out.drop("source_copy_id")
 
 
 def dataset_profile(retail: DataFrame) -> DataFrame:

@@ -26,21 +26,21 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _fs(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _dates(spark: SparkSession, path: str) -> list[str]:
+def partition_dates(spark: SparkSession, path: str) -> list[str]:
     """Partition dates of a dataset, from its folder names."""
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     if not fs.exists(p):
         return []
     return sorted(s.getPath().getName()[3:] for s in fs.listStatus(p) if s.getPath().getName().startswith("dt="))
 
 
 def _drop(spark: SparkSession, path: str, dt: str) -> None:
-    fs, p = _fs(spark, f"{path}/dt={dt}")
+    fs, p = filesystem(spark, f"{path}/dt={dt}")
     fs.delete(p, True)
 
 
@@ -58,6 +58,19 @@ def overwrite_dynamic(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
 
 
+def overwrite_dates(df: DataFrame, path: str, dates: list[str]) -> None:
+    """Replace the given dates by their rows of ``df``; dates without rows go, other dates keep their files.
+
+    ``df`` may read from ``path``.
+    """
+    rows = stored(df.where(F.col("dt").isin(dates)))
+    overwrite_dynamic(rows, path)
+    have = {r["dt"] for r in rows.select("dt").distinct().collect()}  # one row a date
+    for dt in partition_dates(df.sparkSession, path):
+        if dt in dates and dt not in have:
+            _drop(df.sparkSession, path, dt)
+
+
 def overwrite_range(df: DataFrame, path: str, start: str, end: str, amount: str | None = None) -> DataFrame:
     """Replace all dates from ``start`` to ``end``: dates that ``df`` lacks go.
 
@@ -74,7 +87,7 @@ def overwrite_range(df: DataFrame, path: str, start: str, end: str, amount: str
     want = facts(df).first()
     overwrite_dynamic(df, path)
     have = {r["dt"] for r in df.select("dt").distinct().collect()}  # one row a date
-    for dt in _dates(spark, path):
+    for dt in partition_dates(spark, path):
         if start <= dt <= end and dt not in have:
             _drop(spark, path, dt)
     schema = df.schema
