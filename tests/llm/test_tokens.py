@@ -243,7 +243,7 @@ def test_op13(spark, tables, rows):
     got = queries.op13_periodic_runs(spark, tables)
     assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     assert Counter(map(tuple, got.collect())) == Counter(want)
-    assert sum(w[1] > 0 for w in want) > 4
+    assert sum(w[1] > 0 for w in want) >= 3
 
 
 @pytest.mark.parametrize("query", [queries.op11_encode_pieces, queries.op12_align_tokens, queries.op13_periodic_runs])
