@@ -5,8 +5,9 @@ asks for the fewest sequences that cover every length's count. Multiplicative we
 prices the columns by a knapsack dynamic program under the rows' weights, takes the best column through each
 row, as much of it as the row is short of, and lowers the weights of what was covered. Any weights bound the
 program from below, so the rounds stop when the bound meets what is covered. Rounding gives whole multiples
-that hold no item twice; what they leave is solved and rounded again, and in the end placed best fit, longest
-first. Where plain best fit of everything needs no more sequences, that is taken. Only the histogram (at most
+that hold no item twice, of the columns that fill a sequence or of all columns; what they leave is solved and
+rounded again, and in the end placed best fit, longest first. Of both roundings and plain best fit of everything
+the one with the fewest sequences is taken. Only the histogram (at most
 one entry a length) reaches the driver, and the plan's cost grows with the number of lengths, not with their
 counts; pieces meet their places by rank among equals.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -156,14 +158,14 @@ def best_fit(items: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def rounded(columns: dict[Config, float], items: Counter, capacity: int) -> tuple[Counter, Counter]:
-    """Whole multiples of the full ``columns`` within ``items``, and the items they leave.
+def rounded(columns: dict[Config, float], items: Counter, capacity: int, full: bool = True) -> tuple[Counter, Counter]:
+    """Whole multiples of the ``columns``, or of the ``full`` ones alone, within ``items``, and the items they leave.
 
     Fractions are carried from a column to the next, so that the total is kept.
     """
     left, out, carry = Counter(items), Counter(), 0.0
     for config, x in sorted(columns.items()):
-        if sum(k * a for k, a in config) == capacity:
+        if not full or sum(k * a for k, a in config) == capacity:
             carry += x
             times = min([int(carry), *(left[k] // a for k, a in config)])
             if times:
@@ -174,19 +176,28 @@ def rounded(columns: dict[Config, float], items: Counter, capacity: int) -> tupl
 
 
 def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[Config, int]]:
-    """(configuration, count) pairs that hold exactly the histogram's items: of the program's and best fit's the fewer."""
+    """(configuration, count) pairs that hold exactly the histogram's items.
+
+    The program's solution is rounded in two ways, by its full columns and by all of them; of both plans and
+    best fit's the one with the fewest sequences is taken.
+    """
     left = Counter({k: n for k, n in histogram.items() if n})
     plain = best_fit(left, capacity)
     if sum(plain.values()) == -(-sum(k * n for k, n in left.items()) // capacity):  # nothing can be fewer
         return sorted(plain.items())
-    found: Counter = Counter()
-    for _ in range(PASSES):
-        if left:
-            columns, _bound = solve(left, capacity)
-            placed, left = rounded({c: SHARE * x for c, x in columns.items()}, left, capacity)
-            found.update(placed)
-    found.update(best_fit(left, capacity))
-    return sorted(min(found, plain, key=lambda c: sum(c.values())).items())
+    first, bound = solve(left, capacity)
+    plans = [plain]
+    for full in (True, False):  # dense histograms want the columns that leave no room, sparse ones have too few of them
+        if min(sum(p.values()) for p in plans) > ceil(bound - 1e-6):
+            found, rest, columns = Counter(), left, first
+            for k in range(PASSES):
+                if rest:
+                    columns = solve(rest, capacity)[0] if k else first
+                    placed, rest = rounded({c: SHARE * x for c, x in columns.items()}, rest, capacity, full)
+                    found.update(placed)
+            found.update(best_fit(rest, capacity))
+            plans.append(found)
+    return sorted(min(plans, key=lambda c: sum(c.values())).items())
 
 
 def slots(configs: list[tuple[tuple[tuple[int, int], ...], int]]) -> pd.DataFrame:
