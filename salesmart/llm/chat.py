@@ -49,13 +49,15 @@ def events_of(turns: DataFrame) -> DataFrame:
     quarter of the messages, by a hash of their text, have a draft before them: an assistant's is streamed as
     far as its first half and generated anew, the others' holds the second half alone and is edited. Null
     texts count as empty, null roles as ''. Rows that share conv_id and turn are messages of their own, in
-    order of role and text. Messages are numbered by ranges of that order, so that a conversation of any size
-    spreads over tasks; numbers rise within a conversation but have gaps. Other columns are ignored.
+    order of the hashes of role and text. Messages are numbered by ranges of that order, so that a conversation
+    of any size spreads over tasks; numbers rise within a conversation but have gaps. Ranges are cut by numbers
+    alone, since Spark samples what it cuts by to the driver. Other columns are ignored.
     """
-    order = ["conv_id", "turn", "role", "text", "row"]
+    cut = ["conv_id", "turn", F.xxhash64("role"), F.xxhash64("text"), "row"]
+    order = [*cut[:4], "role", "text", "row"]
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     # equal rows are interchangeable; their place in the input spreads them
-    rows = rows.repartitionByRange(partitions(turns.sparkSession), *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(partitions(turns.sparkSession), *cut).sortWithinPartitions(*order)
     rows = rows.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("message"))
     half = F.floor(F.length("text") / 2).cast("int")
     first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
