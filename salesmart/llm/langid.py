@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import free
 
-#: Label of what is not identified.
-UNKNOWN = "und"
+#: Label of what is not identified, and languages whose shares of the sample are broadcast.
+UNKNOWN, BROADCAST = "und", 50_000
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
 
@@ -53,6 +53,7 @@ class Params:
 class Model:
     """table: each subword's logits (its embedding times the softmax weights); bias and temperature.
 
+    With more languages than an embedding has numbers, table holds the embeddings and weights the softmax's.
     seen: which three-letter subwords training had; usual: their share in clean texts; least: the share
     below which a text is in none of the languages.
     """
@@ -65,10 +66,15 @@ class Model:
     seen: np.ndarray | None = None
     usual: float = 1.0
     least: float = 0.0
+    weights: np.ndarray | None = None
+
+    def logits(self, mean: np.ndarray) -> np.ndarray:
+        """Logits of the mean of a text's rows of the table."""
+        return (mean if self.weights is None else mean @ self.weights) + self.bias
 
     def measure(self, text: str) -> tuple[np.ndarray, float]:
         """Probability of each language, and the share of known subwords, drawn to the usual one for short texts."""
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         hits = triples = 0
         step = 1 << 17
         for at in range(0, max(1, len(text)), step):  # bounded memory for very long texts
@@ -77,7 +83,7 @@ class Model:
             n += len(ids)
             if self.seen is not None:
                 hits, triples = hits + int(self.seen[three].sum()), triples + len(three)
-        z = (total / max(n, 1) + self.bias) / self.temperature
+        z = self.logits(total / max(n, 1)) / self.temperature
         e = np.exp(z - z.max())
         prior = self.params.prior
         return e / e.sum(), (hits + prior * self.usual) / (triples + prior)
@@ -159,9 +165,10 @@ def fit(rows: list[tuple[str, list[str]]], params: Params = Params()) -> Model:
             e[ids] -= np.outer(f, w @ g) * 4
             w -= np.outer(hidden, g)
             b -= 0.1 * g
-    model = Model(languages, (e @ w).astype(np.float32), b, 1.0, params)
+    many = n > params.dim
+    model = Model(languages, (e if many else e @ w).astype(np.float32), b, 1.0, params, weights=w.astype(np.float32) if many else None)
     held = aside[: params.aside] or train[: params.aside]
-    logits = np.array([model.table[subwords(s, params)[0]].mean(0) + b for _, s in held])
+    logits = np.array([model.logits(model.table[subwords(s, params)[0]].mean(0)) for _, s in held])
     truth = np.array([k for k, _ in held])
 
     def loss(t: float) -> float:
@@ -230,11 +237,9 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     if not sizes:
         return Model([], np.zeros((params.buckets, 1)), np.zeros(0), 1.0, params)
     each = max(1, min(params.per_language, params.total // len(sizes)))
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in sizes.items()], "lang string, share double")
     key = F.xxhash64("doc_id", "text", F.lit(params.seed))
-    cut = usable.select("lang", key.alias("key"), segments(params).alias("parts"), share.alias("share"))
+    cut = usable.select("lang", key.alias("key"), segments(params).alias("parts")).join(F.broadcast(shares) if len(sizes) <= BROADCAST else shares, "lang")
     drawn = cut.where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < F.col("share")).groupBy("lang", "key").agg(F.first("parts").alias("parts"))
     rows = sorted((r["lang"], r["key"], r["parts"]) for r in drawn.collect())
     if not rows:  # a table so small that the draw is empty
@@ -263,7 +268,8 @@ def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     A prediction is made of the whole text alone. ``accepted`` is false for ``und`` and for texts with fewer
     known subwords than the calibrated limit. Repeated rows are predicted each by itself; without any training
-    row all are ``und``. A table without rows gives none, other columns are ignored.
+    row all are ``und``. A very long text is read in chunks. A table without rows gives none, other columns are
+    ignored.
     """
     out = predict(docs.select("doc_id", "text"), train(docs, params), "p")
     return out.select("doc_id", held_out().alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))
