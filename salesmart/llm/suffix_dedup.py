@@ -7,7 +7,8 @@ one to the right is the same make a run; the run is one tuple (its bytes, at mos
 sorted inside a share, where the least document of each prefix of 50 bytes settles all of them.
 
 First the sampled hashes alone are counted; a sample that occurs in one document only can't be in a
-repeated window, and its run is never shipped. Hashes travel as arrays, one a block of documents and share;
+repeated window, and its run is never shipped. Hashes travel as arrays, one a block of documents and share, each
+hash once a block;
 the number of shares follows from the bytes of all texts, so shares grow in number with the data and not in size.
 """
 
@@ -27,14 +28,14 @@ from .common import partitions, text_or_empty
 
 #: Bytes of a repeated string, and of the sampled strings within it.
 WIDTH, K = 50, 20
-#: Documents of a block, whose runs a task holds at once.
-BLOCK = 2000
+#: Documents of a block, whose runs a task holds at once, and bytes of their texts (one longer text is a block).
+BLOCK, BLOCK_BYTES = 2000, 16 << 20
 #: Bytes of text of a share; there are no fewer shares than shuffle partitions.
 SHARE = 32 << 20
 #: Window starts handled at once in a long text, and windows compared at once.
 CHUNK, COMPARED = 1 << 20, 1 << 16
 _SPREAD = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_BASE, _MASK, _LOW = 0x9E3779B97F4A7C15, (1 << 64) - 1, np.uint64(0xFFFFFFFF)
 _MESSAGE = "share long, block long, kind int, a binary, b binary, c binary, d binary"
 _COLUMNS = ["share", "block", "kind", "a", "b", "c", "d"]
 _LIST, _DATA = 0, 1
@@ -99,10 +100,16 @@ _pack = lambda x: zstandard.ZstdCompressor(level=3).compress(x)
 _unpack = lambda x: zstandard.ZstdDecompressor().decompress(x)
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(batches: Iterator[pd.DataFrame], size) -> Iterator[pd.DataFrame]:
+    """Batches cut after ``BLOCK`` documents or before ``BLOCK_BYTES`` of their texts; ``size`` gives a row's bytes."""
     for batch in batches:
-        for k in range(0, len(batch), BLOCK):
-            yield batch.iloc[k : k + BLOCK]
+        sizes = np.array([size(x) for x in batch["text" if "text" in batch else "z"]], np.int64)
+        first = 0
+        while first < len(batch):
+            room = int(np.searchsorted(np.cumsum(sizes[first : first + BLOCK]), BLOCK_BYTES, side="right"))
+            last = first + max(1, room)
+            yield batch.iloc[first:last]
+            first = last
 
 
 def _grouped(batches: Iterator[pd.DataFrame], by: str) -> Iterator[tuple[int, list[tuple]]]:
@@ -120,36 +127,48 @@ def _grouped(batches: Iterator[pd.DataFrame], by: str) -> Iterator[tuple[int, li
 
 
 def _counts_out(shares: int):
-    """Sampled hashes of each document, by share."""
+    """Sampled hashes of a block's documents: each distinct one once, by share.
+
+    A hash that several documents of the block have is repeated whatever other blocks hold: its documents stay in
+    the block's own list, and the share is only told of it. So a
+    string that is in every document takes one entry a block.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, len):
             order, key = batch["o"].to_numpy(np.int64), batch["h"].to_numpy(np.int64)
             block, hashes, docs = _block(order, key), [], []
             for i, text in enumerate(batch["text"]):
                 u = np.unique(runs(text.encode("utf-8", "surrogatepass"))[2])
                 hashes.append(u)
                 docs.append(np.full(len(u), i, np.uint32))
-            rows = [(block % shares, block, _LIST, order.tobytes(), key.tobytes(), None, None)]
-            if hashes:
-                h, d = np.concatenate(hashes), np.concatenate(docs)
-                for share, at in _split((h >> np.uint64(32)) % np.uint64(shares)):
-                    rows.append((share, block, _DATA, (h[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), _pack(d[at].tobytes()), None, None))
+            h, d = (np.concatenate(x) for x in (hashes, docs))
+            by = np.argsort(h, kind="stable")
+            h, d = h[by], d[by]
+            first = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+            many = np.repeat(np.diff(np.append(np.flatnonzero(first), len(h))) > 1, np.diff(np.append(np.flatnonzero(first), len(h))))
+            rows = [(block % shares, block, _LIST, order.tobytes(), key.tobytes(), _pack((h[many] & _LOW).astype("<u4").tobytes()), _pack(d[many].tobytes()))]
+            told, single = first & many, ~many
+            for share, at in _split((h[told | single] >> np.uint64(32)) % np.uint64(shares)):
+                mine, lone, doc = h[told | single][at], single[told | single][at], d[told | single][at]
+                low = lambda x: (x & _LOW).astype("<u4").tobytes()
+                rows.append((share, block, _DATA, low(mine[lone]), _pack(doc[lone].tobytes()), low(mine[~lone]), None))
             yield _frame(rows)
 
     return run
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes that more than one document has, back to their blocks."""
+    """Hashes of single documents that another block has too, back to their blocks."""
     for share, rows in _grouped(batches, "share"):
         data = [r for r in rows if r[2] == _DATA]
         out = [r for r in rows if r[2] == _LIST]
         if data:
-            low = [np.frombuffer(r[3], "<u4") for r in data]
-            _, where, n = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-            many = np.split(n[where] > 1, np.cumsum([len(x) for x in low])[:-1])
-            for r, x, m in zip(data, low, many):
+            lone = [np.frombuffer(r[3], "<u4") for r in data]
+            all_, n = np.unique(np.concatenate(lone + [np.frombuffer(r[5], "<u4") for r in data for _ in (0, 1)]), return_counts=True)
+            many = all_[n > 1]
+            for r, x in zip(data, lone):
+                m = np.isin(x, many)
                 if m.any():
                     docs = np.frombuffer(_unpack(r[4]), np.uint32)
                     out.append((share, r[1], _DATA, x[m].tobytes(), _pack(docs[m].tobytes()), None, None))
@@ -162,19 +181,16 @@ def _flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         listed = next(r for r in rows if r[2] == _LIST)
         order, key = np.frombuffer(listed[3], np.int64), np.frombuffer(listed[4], np.int64)
         data = [r for r in rows if r[2] == _DATA]
-        out = []
-        if data:
-            low = np.concatenate([np.frombuffer(r[3], "<u4") for r in data])
-            docs = np.concatenate([np.frombuffer(_unpack(r[4]), np.uint32) for r in data])
-            out = [(order[i], key[i], low[at].tobytes()) for i, at in _split(docs)]
-        yield pd.DataFrame(out, columns=["o", "h", "flags"])
+        low = np.concatenate([np.frombuffer(_unpack(listed[5]), "<u4"), *[np.frombuffer(r[3], "<u4") for r in data]])
+        docs = np.concatenate([np.frombuffer(_unpack(listed[6]), np.uint32), *[np.frombuffer(_unpack(r[4]), np.uint32) for r in data]])
+        yield pd.DataFrame([(order[i], key[i], low[at].tobytes()) for i, at in _split(docs)], columns=["o", "h", "flags"])
 
 
 def _runs_out(shares: int):
     """Runs whose sample other documents have, by share; repeats inside the block are settled here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, zstandard.frame_content_size):
             order, key = batch["o"].to_numpy(np.int64), batch["h"].to_numpy(np.int64)
             block = _block(order, key)
             least: dict[bytes, int] = {}
@@ -331,7 +347,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id; strings are
     judged on the input and never cross documents. Null texts are empty. A null doc_id comes after all
-    others; rows that share a doc_id are one document's and don't remove each other's bytes.
+    others; rows that share a doc_id are one document's and don't remove each other's bytes. A very long text is a
+    block of its own, hashed in chunks. An empty table gives none, other columns are ignored.
     """
     stored, spans = covered(docs)
     return stored.join(spans, ["o", "h"], "left").select("doc_id", "z", "spans").mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
