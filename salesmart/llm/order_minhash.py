@@ -13,8 +13,8 @@ from .common import partitions, text_or_empty
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a signature (a power of two).
 K, TUPLE, SIZE = 6, 2, 128
-#: Bytes of text of a bucket of neighbours.
-BUCKET = 64 << 20
+#: Bytes of text of a bucket of neighbours, and most tasks that the buckets are dealt to.
+BUCKET, TASKS = 64 << 20, 20_000
 _MUL, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -86,41 +86,72 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), hexes(text).alias("fingerprint"))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets of at most about ``BUCKET`` bytes, and no fewer than tasks."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(3 * partitions(docs.sparkSession), size // BUCKET)
+class Edges:
+    """First rows (doc_id, hash of the text) of buckets, ascending; null doc_ids come first."""
 
+    def __init__(self, firsts: list[tuple[int | None, int]]) -> None:
+        firsts = sorted(firsts, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        self.firsts = firsts
+        self.nulls = np.array([h for d, h in firsts if d is None], np.int64)
+        self.ids = np.array([d for d, _ in firsts if d is not None], np.int64)
+        self.hashes = np.array([h for d, h in firsts if d is not None], np.int64)
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    def buckets(self, ids: pd.Series, hashes: np.ndarray) -> np.ndarray:
+        """Number of each row's bucket: how many first rows lie at it or before it, less one."""
+        known = ids.notna().to_numpy()
+        out = np.searchsorted(self.nulls, hashes, side="right")
+        own, h = ids[known].to_numpy(np.int64), hashes[known]
+        low, high = np.searchsorted(self.ids, own, side="left"), np.searchsorted(self.ids, own, side="right")
+        for k in np.unique(low[high > low]):  # ids that several buckets share, or that begin one
+            rows = (low == k) & (high > low)
+            high[rows] = k + np.searchsorted(self.hashes[k : high[rows][0]], h[rows], side="right")
+        out[known] = len(self.nulls) + high
+        return np.maximum(out - 1, 0).astype(np.int32)
+
+
+def edges(docs: DataFrame, size: int | None = None) -> Edges:
+    """First rows of buckets of about ``size`` bytes of text each, or of one longer text.
+
+    Ids and sizes are dealt by ranges of (doc_id, hash) and sorted; along each range a bucket begins wherever
+    the bytes so far reach the next multiple of ``size``. So buckets grow in number with the data and not in
+    size; one pair of numbers a bucket comes to the driver.
+    """
+    size, order = size or BUCKET, [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    narrow = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("h"), (F.octet_length(text_or_empty()) + 1).cast("long").alias("n"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, number = 0, -1
+        for batch in batches:
+            before = total + np.cumsum(batch["n"].to_numpy()) - batch["n"].to_numpy()
+            total += int(batch["n"].sum())
+            own = before // size
+            begins = np.flatnonzero(own > np.concatenate(([number], own[:-1])))
+            number = int(own[-1]) if len(own) else number
+            yield batch.iloc[begins][["doc_id", "h"]].astype({"doc_id": "Int64"})
+
+    firsts = narrow.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).mapInPandas(cut, "doc_id long, h long")
+    return Edges([(r["doc_id"], r["h"]) for r in firsts.distinct().collect()])
+
+
+def with_next(docs: DataFrame, found: Edges) -> DataFrame:
     """(bucket, doc_id, ahead, text): documents in buckets of ascending doc_id, each with its first follower.
 
-    Bucket edges are quantiles of doc_id, so buckets hold about as many rows each. The first row of a
-    bucket also goes, marked ahead, to the end of the bucket before it (of the first bucket to the last),
-    which is one more text a bucket. Null doc_ids come first; rows with one doc_id follow by text hash.
+    The first row of a bucket also goes, marked ahead, to the end of the bucket before it (of the first bucket
+    to the last), which is one more text a bucket. Null doc_ids come first; rows with one doc_id follow by
+    text hash, and spread over buckets like others.
     """
     spark = docs.sparkSession
-    buckets = buckets or bucket_count(docs)
-    q = [i / buckets for i in range(1, buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, q)), 10_000)).first()[0] if q else None
-    edges = np.unique(np.array([x for x in found or [] if x is not None], np.int64))
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(edges, ids[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
+    def bucket(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(found.buckets(ids, hashes.to_numpy(np.int64)))
 
-    narrow = docs.select("doc_id").withColumn("bucket", bucket("doc_id"))
-    firsts = sorted((r["bucket"], r["first"] if r["nulls"] == 0 else None) for r in narrow.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    own = rows.withColumn("bucket", bucket("doc_id")).withColumn("ahead", F.lit(0))
-    if not firsts:
-        return own.select("bucket", "doc_id", "ahead", "text")
-    sent = spark.createDataFrame([(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)], "_first long, bucket int")
-    ahead = rows.join(F.broadcast(sent), F.col("doc_id").eqNullSafe(F.col("_first")))  # one row a bucket
-    return own.select("bucket", "doc_id", "ahead", "text").union(ahead.select("bucket", "doc_id", F.lit(1), "text"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("h"))
+    own = rows.select(bucket("doc_id", "h").alias("bucket"), "doc_id", F.lit(0).alias("ahead"), "text")
+    n = len(found.firsts)
+    sent = spark.createDataFrame([(d, h, (k - 1) % n) for k, (d, h) in enumerate(found.firsts)], "_first long, _h long, bucket int")
+    ahead = rows.join(F.broadcast(sent), F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("h") == F.col("_h")))  # one row a bucket
+    return own.union(ahead.select("bucket", "doc_id", F.lit(1), "text").dropDuplicates(["bucket", "doc_id", "text"]))
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -153,7 +184,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
                     held = bucket, doc, ahead, text, points, signature(points)
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
-    n = bucket_count(docs)
-    spread = with_next(docs, n)
+    found = edges(docs)
+    tasks = max(3 * partitions(docs.sparkSession), min(len(found.firsts), TASKS))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", F.xxhash64("text"), "text").mapInPandas(run, schema)
+    return with_next(docs, found).repartition(tasks, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", F.xxhash64("text"), "text").mapInPandas(run, schema)

@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -283,3 +285,22 @@ def test_dense_rank_salted(spark):
     for r in dense_rank_salted(df, ["k"], ["v"], "rank", 4).collect():
         groups[r.k].append(r["rank"])
     assert all(sorted(g) == list(range(len(g))) for g in groups.values()) and sum(map(len, groups.values())) == 100
+
+
+def test_a_string_in_every_document_takes_one_entry_a_block(spark):
+    rng = np.random.default_rng(4)
+    shared = "the licence line that every document of this corpus has in it, word for word"
+    texts = [shared + " " + "".join(rng.choice(list("abcdefgh"), 40)) for _ in range(600)]
+    batch = pd.DataFrame({"o": np.arange(600), "h": np.arange(600), "text": texts})
+    sent = pd.concat(suffix_dedup._counts_out(4)(iter([batch])))
+    data = sent[sent.kind == suffix_dedup._DATA]
+    told = np.concatenate([np.frombuffer(x, "<u4") for x in data.c])
+    lone = np.concatenate([np.frombuffer(x, "<u4") for x in data.a])
+    assert len(told) and len(np.unique(told)) == len(told) and len(told) + len(np.unique(lone)) < 8 * 600
+
+
+def test_blocks_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 5)
+    batch = pd.DataFrame({"text": ["x" * n for n in (10, 50, 50, 400, 1, *[1] * 12)]})
+    assert [[len(t) for t in b["text"]] for b in suffix_dedup._blocks(iter([batch]), len)] == [[10, 50], [50], [400], [1] * 5, [1] * 5, [1] * 3]

@@ -440,3 +440,59 @@ def test_shards(spark, tmp_path):
     token_shards.write_shards(df.repartition(7, "text"), again, stride=64, shard=32)  # another layout, the same order
     assert token_shards.read_shards(spark, again).exceptAll(token_shards.read_shards(spark, path)).count() == 0
     assert token_shards.write_shards(spark.createDataFrame([], EMPTY), f"file://{tmp_path}/none") == 0
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    """As many buckets as asked for, of equal bytes, also where one id has a third of the rows."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 5000 == 1, None).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    found = order_minhash.edges(rows, 12)
+    assert len(found.firsts) > 45_000
+    found = order_minhash.edges(rows, 5_000)
+    sizes = order_minhash.with_next(rows, found).where("ahead = 0").groupBy("bucket").agg(F.sum(F.octet_length("text") + 1).alias("n")).collect()
+    total = sum(r.n for r in sizes)
+    assert len(sizes) == len(found.firsts) and total / 5_000 <= len(sizes) <= total / 5_000 + 8 and max(r.n for r in sizes) <= 5_030
+
+
+def test_neighbours_across_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BUCKET", 300)
+    test_order_minhash(spark)
+    docs = [(i, f"{i} {'again ' * (i % 5)}") for i in range(20)] + [(3, "other"), (3, "third"), (3, "third"), (None, "none"), (None, "nil")]
+    got = order_minhash.fingerprint_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in docs)
+
+
+SPARSE = {"every seventh": (range(500, 901, 7), 76_418, 69_883), "coarse": ((310, 480, 650, 900, 1200), 76_667, 73_473), "every tenth": (range(301, 1101, 10), 69_931, 68_266), "all": (range(500, 900), 76_544, 70_287)}
+
+
+@pytest.mark.parametrize("lengths, plain, most", SPARSE.values(), ids=SPARSE)
+def test_plan_of_sparse_lengths(lengths, plain, most):
+    """Where few columns fill a sequence to the last token the program still decides; figures are of 200,000 pieces."""
+    rng = np.random.default_rng(1)
+    histogram = Counter(rng.choice(list(lengths), 200_000).tolist())
+    found = packing.plan(histogram)
+    held: Counter = Counter()
+    for config, times in found:
+        assert sum(k * a for k, a in config) <= packing.SEQUENCE
+        for k, a in config:
+            held[k] += a * times
+    assert held == histogram
+    n, best = sum(t for _, t in found), sum(packing.best_fit(histogram, packing.SEQUENCE).values())
+    assert packing.solve(histogram, packing.SEQUENCE)[1] <= n <= best - 0.8 * (plain - most)
+
+
+def test_ranges_of_turns_are_cut_by_numbers(spark):
+    """Spark samples what ranges are cut by to the driver, so that no text may be among it."""
+    turns = spark.createDataFrame([(1, 0, "user", "a text")], "conv_id long, turn long, role string, text string")
+    plan = chat.events_of(turns)._jdf.queryExecution().optimizedPlan().toString()
+    cut = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(cut) == 1 and cut[0].count("xxhash64(") == 2
+    assert "role" not in cut[0].replace("xxhash64(role", "") and "text" not in cut[0].replace("xxhash64(text", "")
+
+
+def test_three_thousand_languages(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.md5((F.col("id") % 3000).cast("string"))).alias("text"), F.concat(F.lit("l"), F.col("id") % 3000).alias("lang"))
+    params = langid.Params(steps=200, epochs=1, buckets=1 << 12)
+    model = langid.train(rows, params)
+    assert len(model.languages) > 1500
+    lang, score, _ = model.predict("word of some language")
+    assert lang in model.languages and 0 < score < 1
