@@ -181,6 +181,12 @@ class Encoder:
             out, at = out[:last], at[:last]
         return out.decode("utf-8", "surrogatepass"), np.append(at, np.int32(end))
 
+    def normalised(self, text: str) -> str:
+        """The normalised text alone."""
+        if self.map or self.squeeze or not text:
+            return self.normalise(text)[0]
+        return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and each piece's first byte in the source and the byte after its last.
 

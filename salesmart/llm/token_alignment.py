@@ -18,15 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, text_or_empty
-from .piece_encoding import encoder as piece_encoder
+from .piece_encoding import SPACE, encoder as piece_encoder
 from .tokens import byte_tokens
 
 
 def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
     """Ends that both lists have, ascending, and how many tokens of each list lie before each of them."""
     index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
-    return common, [index_a[e] for e in common], [index_b[e] for e in common]
+    common = list(filter(index_a.__contains__, index_b))  # the intersection, in the order of the keys: ends ascend
+    return common, list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,13 +51,20 @@ class Aligner:
         self.listed = [np.array([n + mark for n in names], object) for mark in ",|;"]
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both lists of ids; none for an empty text or where the bytes of one aren't the space and the text."""
+        """Both lists of ids; none for an empty text or where the bytes of one aren't the space and the text.
+
+        Tokens of a list are neighbouring slices of what its tokenizer reads: the first of the space and the text,
+        which they cover if their sizes add up, the second of the normalised text, with spaces for marks.
+        """
         if not text:
             return None
-        raw = (" " + text).encode()
-        a, b = np.array(self.encode_a(" " + text), np.int64), self.b.encode(text)[0]
-        same = b"".join(map(self.text_a.__getitem__, a.tolist())) == raw and b"".join(map(self.text_b.__getitem__, b.tolist())) == raw
-        return (a, b) if same else None
+        spaced = " " + text
+        normal = self.b.normalised(text)
+        if normal.replace(SPACE, " ") != spaced:
+            return None
+        a, b = np.array(self.encode_a(spaced), np.int64), self.b.merged(normal)
+        size = len(spaced.encode())
+        return (a, b) if self.size_a[a].sum() == size == self.size_b[b].sum() else None
 
     def align(self, text: str | None):
         """ids a, ids b, groups' ends in each list, ends in bytes of each token; none as for ``tokens``."""
