@@ -45,11 +45,20 @@ def dws_sales_summary(dwd: DataFrame, salts: int = 0) -> DataFrame:
                     F.coalesce(ratio(F.col("_s"), F.col("total_orders"), kind="decimal(14,2)"), F.lit(0).cast("decimal(14,2)")).alias("avg_order_value"), "dt")
 
 
+def marked_lines(dwd: DataFrame, customer_value: DataFrame) -> DataFrame:
+    """``dwd`` with is_high: whether the customer is of high value on the day. Stored, it serves both marts below."""
+    high = customer_value.where(F.col("customer_level") == HIGH).select("dt", "customerid", F.lit(True).alias("_high"))
+    return dwd.join(high, ["dt", "customerid"], "left").select(*dwd.columns, F.col("_high").isNotNull().alias("is_high"))
+
+
 def ads_high_value_contribution(dwd: DataFrame, customer_value: DataFrame) -> DataFrame:
     """Share of high-value customers in each day's sales; days without any keep a row of zeros."""
-    high = customer_value.where(F.col("customer_level") == HIGH).select("dt", "customerid", F.lit(True).alias("_high"))
-    lines = dwd.select("dt", "customerid", "invoice", "amount").join(high, ["dt", "customerid"], "left")
-    mine = lambda c: F.when(F.col("_high"), F.col(c))
+    return contribution_of(marked_lines(dwd, customer_value))
+
+
+def contribution_of(lines: DataFrame) -> DataFrame:
+    """``ads_high_value_contribution`` from marked lines."""
+    mine = lambda c: F.when(F.col("is_high"), F.col(c))
     g = lines.groupBy("dt").agg(
         F.count_distinct(mine("customerid")).alias("high_value_customer_cnt"), F.count_distinct(mine("invoice")).alias("high_value_order_cnt"),
         F.coalesce(F.sum(mine("amount")), F.lit(0)).alias("_h"), F.sum("amount").alias("_s"),
@@ -94,7 +103,15 @@ def best_description() -> Column:
 def ads_high_value_preference(dwd: DataFrame, customer_value: DataFrame) -> DataFrame:
     """What each day's high-value customers buy, ranked by sales."""
     high = customer_value.where(F.col("customer_level") == HIGH).select("dt", "customerid")
-    lines = dwd.join(high, ["dt", "customerid"], "left_semi")
+    return _preference(dwd.join(high, ["dt", "customerid"], "left_semi"))
+
+
+def preference_of(lines: DataFrame) -> DataFrame:
+    """``ads_high_value_preference`` from marked lines."""
+    return _preference(lines.where("is_high"))
+
+
+def _preference(lines: DataFrame) -> DataFrame:
     g = lines.groupBy("dt", "stockcode").agg(
         best_description().alias("description"), F.count_distinct("customerid").alias("high_value_customer_cnt"), F.count_distinct("invoice").alias("high_value_order_cnt"),
         F.sum("quantity").alias("total_quantity"), money("amount").alias("total_sales"),

@@ -167,8 +167,12 @@ def star_quality_rules(dwd, history, product, geo, date, fact, star_dws) -> Data
     lines = dwd.agg(F.count(F.lit(1)).alias("n_dwd"), F.sum("amount").cast("decimal(28,2)").alias("s_dwd"))
     day = F.to_date("dt")
     per_day = dwd.select("customerid", "dt").groupBy("customerid", "dt").agg(F.count(F.lit(1)).alias("_w"))
-    match = per_day.join(history.select("customerid", "start_date", "end_date"), "customerid", "left").groupBy("customerid", "dt").agg(F.first("_w").alias("_w"), F.count_if(day.between(F.col("start_date"), F.col("end_date"))).alias("_m"))
-    match = match.agg(F.coalesce(F.sum(F.when(F.col("_m") != 1, F.col("_w"))), F.lit(0)).alias("unmatched"))
+    # a sweep in order of time counts the versions that are open on a day: no pairs of days and versions
+    moment = lambda df, at, kind, step, lines: df.select("customerid", at.alias("_at"), F.lit(kind).alias("_kind"), F.lit(step).alias("_step"), lines.cast("long").alias("_w"))
+    none = F.lit(0)
+    moments = moment(history, F.col("start_date"), 0, 1, none).unionByName(moment(history.where("end_date < date'9999-12-31'"), F.date_add("end_date", 1), 0, -1, none)).unionByName(moment(per_day, day, 1, 0, F.col("_w")))
+    open_ = F.sum("_step").over(Window.partitionBy("customerid").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    match = moments.withColumn("_open", open_).agg(F.coalesce(F.sum(F.when((F.col("_kind") == 1) & (F.col("_open") != 1), F.col("_w"))), F.lit(0)).alias("unmatched"))
     mart = star_dws.agg(F.sum("total_amount").cast("decimal(28,2)").alias("s_star"))
     twice = [df.agg(_counted(F.col("_n") > 1, f"d_{n}")) for n, df in [*counted.items(), ("user", versions)]]
     line = fact.groupBy("order_line_id").agg(F.count(F.lit(1)).alias("_n")).agg(_counted(F.col("_n") > 1, "d_line"))
@@ -242,9 +246,11 @@ def dim_conflict_audit(dwd: DataFrame, product: DataFrame, history: DataFrame) -
 
 
 def dim_conflict_samples(dwd: DataFrame, key: str, value: str, n: int = 20) -> DataFrame:
-    """The ``n`` keys with most values, and the values."""
-    g = dwd.where(~blank(key) & ~blank(value)).groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(value)), "|").alias("conflicting_values"), F.count_distinct(value).alias("value_cnt"))
-    return g.where("value_cnt > 1").orderBy(F.desc("value_cnt"), key).limit(n)
+    """The ``n`` keys with most values, and the values, which are gathered for those keys alone."""
+    pairs = dwd.where(~blank(key) & ~blank(value)).select(key, value).distinct()
+    top = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("value_cnt")).where("value_cnt > 1").orderBy(F.desc("value_cnt"), key).limit(n)
+    g = pairs.join(F.broadcast(top), key).groupBy(key, "value_cnt").agg(F.array_join(F.sort_array(F.collect_list(value)), "|").alias("conflicting_values"))
+    return g.select(key, "conflicting_values", "value_cnt").orderBy(F.desc("value_cnt"), key)
 
 
 def dwd_normalization_profile(dwd: DataFrame) -> DataFrame:

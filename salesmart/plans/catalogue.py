@@ -16,23 +16,33 @@ BATCH, DAY = oracle.BATCH, oracle.DAY
 START, END = oracle.START, oracle.END
 
 
-#: Layers stored once for a Spark application and a folder of tables.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+#: Layers stored once for a Spark application and a folder of tables as it is: by its files' names, sizes and times.
+_STORED: dict[tuple, DataFrame] = {}
+_TABLES = ("lineitem", "orders", "customer", "part", "nation")
 
 
 class Context:
     """The layers over one folder of tables.
 
-    Landed, typed and clean records, the customers' daily value, the dimensions and the facts are stored
-    tables, as in a warehouse: written when first asked for, read by everything above. The other marts are
-    lazy DataFrames over them, and the query of a stored table computes it anew from the tables below it.
+    Landed, typed and clean records, the customers' daily value, the lines marked by it, the countries' summary, the
+    dimensions and the facts are stored tables, as in a warehouse: written when first asked for, read by everything
+    above. The other marts are lazy DataFrames over them, and the query of a stored table computes it anew from the
+    tables below it.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def stamp(self) -> tuple:
+        found = []
+        for name in _TABLES:
+            fs, p = sinks.filesystem(self.spark, f"{self.sf_dir}/{name}.parquet")
+            found += [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)]
+        return tuple(found)
+
     def layer(self, name: str, build: Callable[[], DataFrame], table: bool = True) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.stamp, name)
         if key not in _STORED:
             _STORED[key] = stored(build()) if table else build()
         return _STORED[key]
@@ -56,10 +66,11 @@ class Context:
     simple = cached_property(lambda t: t.layer("simple", lambda: L.clean_simple(t.ods)))
     value = cached_property(lambda t: t.layer("value", lambda: M.dws_customer_value(t.dwd)))
     summary = cached_property(lambda t: t.layer("summary", lambda: M.dws_sales_summary(t.dwd)))
-    contribution = cached_property(lambda t: M.ads_high_value_contribution(t.dwd, t.value))
+    marked = cached_property(lambda t: t.layer("marked", lambda: M.marked_lines(t.dwd, t.value)))
+    contribution = cached_property(lambda t: M.contribution_of(t.marked))
     distribution = cached_property(lambda t: M.ads_level_distribution(t.value))
     rank = cached_property(lambda t: M.ads_country_rank(t.summary))
-    preference = cached_property(lambda t: M.ads_high_value_preference(t.dwd, t.value))
+    preference = cached_property(lambda t: M.preference_of(t.marked))
     overview = cached_property(lambda t: M.ads_sales_overview(t.dwd))
     anomaly = cached_property(lambda t: M.ads_sales_anomaly(t.overview))
     daily = cached_property(lambda t: S.daily_customer_country(t.dwd))
@@ -104,8 +115,9 @@ class Context:
 
 def _by_date(df: DataFrame) -> str:
     """``df`` as a new table partitioned by dt; returns its folder."""
-    path = scratch(df.sparkSession)
-    df.hint("rebalance", "dt").write.partitionBy("dt").parquet(path)
+    path, tasks = scratch(df.sparkSession), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of tasks: many small files are written side by side
+    df.repartition(tasks, "dt").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("dt").parquet(path)
     return path
 
 
@@ -295,12 +307,12 @@ _QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "replicate_dataset_parseable": lambda t: R.replicate_dataset(t.retail.where(L.parse_invoice_ts("invoicedate").isNotNull()), 3, 2, trim=True, lineage=True),
     "dataset_profile": lambda t: R.dataset_profile(t.retail),
     "dws_customer_value": lambda t: M.dws_customer_value(t.dwd),
-    "dws_sales_summary": lambda t: t.summary,
+    "dws_sales_summary": lambda t: M.dws_sales_summary(t.dwd),
     "dws_sales_summary_salted": lambda t: M.dws_sales_summary(t.dwd, salts=20),
-    "ads_high_value_contribution": lambda t: t.contribution,
+    "ads_high_value_contribution": lambda t: M.ads_high_value_contribution(t.dwd, t.value),
     "ads_level_distribution": lambda t: t.distribution,
     "ads_country_rank": lambda t: t.rank,
-    "ads_high_value_preference": lambda t: t.preference,
+    "ads_high_value_preference": lambda t: M.ads_high_value_preference(t.dwd, t.value),
     "ads_sales_overview": lambda t: t.overview,
     "ads_sales_anomaly": lambda t: t.anomaly,
     "dws_customer_value_star": lambda t: t.star,

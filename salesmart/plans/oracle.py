@@ -293,10 +293,15 @@ V["alltime_quality_rules"] = " UNION ALL ".join(
     + [f"SELECT {i}, 'ads_{n}_{'row_count' if n == 'top10_products' else 'nonempty'}', count(*), '{'= 10' if n == 'top10_products' else '> 0'}', count(*) {'= 10' if n == 'top10_products' else '> 0'} FROM {n}" for i, n in enumerate(ALLTIME_RESULTS, 6)])
 
 
-def _print(columns: dict[str, str], name: str, view: str) -> str:
+#: CRC-32 by its table of 256 entries, made from the reversed polynomial; for texts of one byte a character.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, list_transform(range(8), lambda z: 0::BIGINT)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _print(columns: dict[str, str], name: str, view: str, crc: bool = False) -> str:
     row = "concat_ws('#|#', " + ", ".join(f"coalesce({x}::VARCHAR, '<NULL>')" for x in sorted(columns)) + ")"
-    h = "CAST(coalesce(sum(('0x' || substr(md5({}), 1, 8))::UBIGINT), 0) AS DECIMAL(38,0))".format
-    return f"SELECT '{name}' AS table_name, count(*) AS row_cnt, {h('s')} AS hash_sum, {h('reverse(s)')} AS reverse_hash_sum FROM (SELECT {row} AS s FROM {view})"
+    h = f"CAST(coalesce(sum({_CRC if crc else "('0x' || substr(md5({}), 1, 8))::UBIGINT"}), 0) AS DECIMAL(38,0))".format
+    return f"SELECT '{name}' AS table_name, count(*) AS row_cnt, {h('s')} AS hash_sum, {h('reverse(s)')} AS reverse_hash_sum FROM (SELECT {row} AS s FROM {view}){f', {_CRC_TABLE}' if crc else ''}"
 
 
 _ODS = dict.fromkeys((*_TEXTS, "dt"), "")
@@ -368,6 +373,7 @@ def _rerun(faulty: bool) -> str:
     return f"SELECT *, CASE WHEN changed_cnt = 0 THEN 'PASS' ELSE 'FAIL' END AS check_result FROM ({' UNION ALL '.join(parts)})"
 
 
+V["table_fingerprint_crc32"] = " UNION ALL ".join([_print(_ODS, "ods_retail", "ods_typed", True), _print(_ODS | {"amount": ""}, "dwd_retail_clean", "dwd_clean", True)])
 V["idempotency_check"], V["idempotency_check_changed"] = _rerun(False), _rerun(True)
 V["failed_rules"] = "SELECT * REPLACE (CASE WHEN rule_code = 'DWD_002' THEN 3 ELSE abnormal_cnt END AS abnormal_cnt, CASE WHEN rule_code = 'DWD_002' THEN 'FAIL' ELSE check_status END AS check_status) FROM dwd_quality_rules"
 V["gate_log"] = " UNION ALL ".join(f"SELECT *, '{d}' AS dt, 'dwd' AS gate, {run} AS run FROM {of}" for d, run, of in (
