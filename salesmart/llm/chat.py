@@ -149,5 +149,9 @@ def digests(chunks: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """Turns -> event log -> folded messages -> formatted chunks, one a row of ``turns``; an empty table gives none."""
+    """Turns -> event log -> folded messages -> formatted chunks, one a row of ``turns``.
+
+    Nulls, ties, repeated rows and other columns are as in ``events_of``; an empty table gives none. A very long
+    text is rendered whole in one task, a conversation of very many turns is spread over tasks.
+    """
     return formatted(reconstruct(events_of(turns)))

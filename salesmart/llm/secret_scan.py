@@ -123,6 +123,8 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Base kinds are found leftmost and without overlap, each kind by itself; linked parts are added and
     never displace them. Null and empty texts have empty arrays; a null doc_id is a value like any other.
+    Repeated rows are scanned each and come back each; an empty table gives none; other columns, of any name,
+    are ignored. A very long text is scanned whole, masked in chunks of 65,536 characters.
     """
     cands = materialise(candidates(docs))
     more = linked(cands, scope).groupBy("doc_id", "key").agg(F.collect_list("span").alias("more"))

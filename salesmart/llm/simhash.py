@@ -233,6 +233,8 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     Equal fingerprints are joined once, as a class with its smallest doc_id, before any pair is formed.
     Texts without words have fingerprint zero and link like any other. Rows whose doc_id is null form
     no links through it and take the component of their fingerprint, if that has a doc_id, else null.
+    Repeated rows come back each; an empty table gives none; other columns, of any name, are ignored. A very
+    long text is hashed whole in one task, in memory of some 15 times its length.
     """
     prints = materialise(simhash(docs))
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -244,13 +246,3 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     return prints.join(of_print, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """``docs`` without near duplicates: the row with the smallest doc_id of each component stays.
-
-    Repeated rows with the same doc_id stay together with their component's first; rows with a null
-    doc_id stay.
-    """
-    kept = near_duplicates(docs.select("doc_id", "text"), budget).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

@@ -79,14 +79,6 @@ def test_hamming_links_dense(spark, monkeypatch):
         assert {i: got.get(i, i) for i in range(len(values))} == want
 
 
-def test_keep_one(docs):
-    rows, df = docs
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == {r.component_id for r in simhash.near_duplicates(df).collect()}
-
-
 def brute_repeats(rows):
     data = {r[0]: (r[1] or "").encode() for r in rows}
     first = {}
@@ -258,7 +250,7 @@ def test_contained(spark, docs):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], EMPTY)
     bench = spark.createDataFrame([(0, "a b c")], "item_id long, text string")
-    assert simhash.near_duplicates(df).count() == simhash.keep_one(df).count() == 0
+    assert simhash.near_duplicates(df).count() == 0
     assert suffix_dedup.remove_repeats(df).count() == 0
     assert secret_scan.scan(df).count() == secret_scan.redact(df).count() == 0
     assert decontaminate.contained(df, bench).count() == decontaminate.drop_contaminated(df, bench).count() == 0
