@@ -271,17 +271,18 @@ def test_prefix_sums(spark, hot, tasks):
 def test_prefix_sums_of_nothing_and_nulls(spark):
     none = spark.createDataFrame([], "k string, o string, v decimal(12,2)")
     assert ordered.prefix_sums(none, "k", "o", "v", "s").count() == 0
-    rows = spark.createDataFrame([("a", "1", None), ("a", "2", 3), ("a", "2", None)], "k string, o string, v int")
-    assert sorted((r["o"], int(r["s"])) for r in ordered.prefix_sums(rows, "k", "o", "v", "s").collect()) == [("1", 0), ("2", 3), ("2", 3)]
+    rows = spark.createDataFrame([("a", "1", None), ("a", "2", 3), ("a", "2", None), (None, "1", 5), (None, "3", 2)], "k string, o string, v int")
+    got = sorted((r["k"] or "", r["o"], int(r["s"])) for r in ordered.prefix_sums(rows, "k", "o", "v", "s").collect())
+    assert got == [("", "1", 5), ("", "3", 7), ("a", "1", 0), ("a", "2", 3), ("a", "2", 3)]
 
 
 def test_asof_merge_makes_no_pairs(spark, tasks):
     first = date(2010, 1, 1)
     versions_ = spark.createDataFrame([("k", first + timedelta(2 * i), f"v{i}") for i in range(2000)] + [("other", first, "w")], "key string, start date, name string")
-    rows = spark.createDataFrame([("k", first + timedelta(i), i) for i in range(-3, 4000)] + [("none", first, 0), ("other", first, 1)], "key string, at date, n int")
+    rows = spark.createDataFrame([("k", first + timedelta(i), i) for i in range(-3, 4000)] + [("none", first, 0), ("other", first, 1), (None, first, 2)], "key string, at date, n int")
     got = {(r["key"], r["n"]): r["name"] for r in ordered.asof_merge(rows, versions_, "key", "at", "start", ["name"]).collect()}
     want = {("k", i): None if i < 0 else f"v{min(i // 2, 1999)}" for i in range(-3, 4000)}
-    assert got == {**want, ("none", 0): None, ("other", 1): "w"}
+    assert got == {**want, ("none", 0): None, ("other", 1): "w", (None, 2): None}
     plan = ordered.asof_merge(rows, versions_, "key", "at", "start", ["name"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
