@@ -164,11 +164,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = [r for r in rows if r[2] == _DATA]
         out = [r for r in rows if r[2] == _LIST]
         if data:
-            lone = [np.frombuffer(r[3], "<u4") for r in data]
-            all_, n = np.unique(np.concatenate(lone + [np.frombuffer(r[5], "<u4") for r in data for _ in (0, 1)]), return_counts=True)
-            many = all_[n > 1]
-            for r, x in zip(data, lone):
-                m = np.isin(x, many)
+            lone, told = ([np.frombuffer(r[c], "<u4") for r in data] for c in (3, 5))
+            _, where, n = np.unique(np.concatenate(lone + told + told), return_inverse=True, return_counts=True)
+            many = np.split(n[where[: sum(map(len, lone))]] > 1, np.cumsum([len(x) for x in lone])[:-1])
+            for r, x, m in zip(data, lone, many):
                 if m.any():
                     docs = np.frombuffer(_unpack(r[4]), np.uint32)
                     out.append((share, r[1], _DATA, x[m].tobytes(), _pack(docs[m].tobytes()), None, None))
