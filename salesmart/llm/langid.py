@@ -24,7 +24,8 @@ class Params:
 
     per_language, total: documented bounds on the training sample, in documents (expected; of each
     language one at least). segment: code points of a training segment; per_document: most segments of a
-    sampled document (longer ones give as many, evenly spaced). steps: training segments an epoch. aside:
+    sampled document (longer ones give as many, evenly spaced), so that the sample holds total * per_document *
+    segment code points at most, 96 million. steps: training segments an epoch. aside:
     most segments kept aside to calibrate the scores. known: bits of the table of three-letter subwords seen
     in training. prior: subwords by which a text's share of known ones is drawn to that of clean texts. loss:
     share of clean texts that the highest rejection limit costs; spared: share of the negatives that may pass
@@ -239,11 +240,13 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     each = max(1, min(params.per_language, params.total // len(sizes)))
     shares = docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in sizes.items()], "lang string, share double")
     key = F.xxhash64("doc_id", "text", F.lit(params.seed))
-    cut = usable.select("lang", key.alias("key"), segments(params).alias("parts")).join(F.broadcast(shares) if len(sizes) <= BROADCAST else shares, "lang")
-    drawn = cut.where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < F.col("share")).groupBy("lang", "key").agg(F.first("parts").alias("parts"))
+    keyed = usable.select("lang", "text", key.alias("key"))
+    cut = lambda df: df.select("lang", "key", segments(params).alias("parts"))
+    met = keyed.join(F.broadcast(shares) if len(sizes) <= BROADCAST else shares, "lang")
+    drawn = cut(met.where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))).groupBy("lang", "key").agg(F.first("parts").alias("parts"))
     rows = sorted((r["lang"], r["key"], r["parts"]) for r in drawn.collect())
     if not rows:  # a table so small that the draw is empty
-        rows = [(r["lang"], r["key"], r["parts"]) for r in cut.orderBy("key", "lang").limit(params.total).collect()]
+        rows = [(r["lang"], r["key"], r["parts"]) for r in cut(keyed.orderBy("key", "lang").limit(params.total)).collect()]
     return fit([(lang, parts) for lang, _, parts in rows], params)
 
 
