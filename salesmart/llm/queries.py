@@ -49,7 +49,11 @@ def op4_simhash_near_duplicates(spark, sf_dir):
 @_shipped
 def op5_scan_secrets(spark, sf_dir):
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["ord"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+
+    def count(kind: int):  # a lambda's second parameter, even one with a default, would be the element's place
+        return F.size(F.filter("base", lambda s: s["ord"] == kind)).cast("long").alias(f"n_{secret_scan.KINDS[kind]}")
+
+    n = [count(kind) for kind in range(3)]
     return found.select("doc_id", *n, F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
 
 

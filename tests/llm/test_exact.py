@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from salesmart.llm import decontaminate, secret_scan, simhash, suffix_dedup
+from salesmart.llm import decontaminate, queries, secret_scan, simhash, suffix_dedup
 from salesmart.llm.common import components, dense_rank_salted
 
 from .data import EMPTY, SCHEMA, documents
@@ -164,6 +164,16 @@ def test_secrets(spark):
     assert got[10][1] == [] and [s.split(":")[0] for s in got[11][1]] == ["access"]
 
 
+def test_secret_counts_of_the_query(spark, tmp_path):
+    """The counts go by kind, wherever a text's spans of that kind stand."""
+    texts = ["a" * 24, "AKIA" + "B" * 16 + " token=abcdef", "token=abcdef " * 3 + "f" * 24, *SECRETS]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op5_scan_secrets(spark, str(tmp_path)).collect():
+        base = brute_secrets(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
 def test_weak_secret_forms(spark):
     """A 40-character secret beside an identifier is found however it is written; runs of other lengths aren't."""
     key = "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5zA7b"
