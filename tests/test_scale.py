@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from salesmart.functions import parsing as P
+from salesmart.operators import star as S
 from salesmart.plans import catalogue as C
-from salesmart.sources import retail as R
+from salesmart.sources import retail as R, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,31 @@ def test_shuffles_follow_the_tables(spark):
     finally:
         for k, v in zip(keys, old):
             spark.conf.set(k, v)
+
+
+def test_facts_move_to_their_versions_and_their_day_alone(spark, tmp_path):
+    """Written by dates, lines are below two exchanges; identical lines keep a number each."""
+    t = C.Context(spark, SF)
+    plain = S.fact_order(t.dwd, t.history, t.product, t.date, t.geo)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        product = S.dim_product(sinks.to_dates(t.dwd.select("dt", "stockcode", "description", "invoicedate")))
+        by_date = S.fact_order(t.dwd, t.history, product, F.broadcast(t.date), F.broadcast(t.geo), by_date=True)
+        plan = sinks.to_dates(by_date)._jdf.queryExecution().executedPlan().toString()
+        # lines to versions, the versions, lines to dates, products to dates
+        assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 4
+        assert by_date.exceptAll(plain).count() == plain.exceptAll(by_date).count() == 0
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
+    doubled = t.dwd.unionByName(t.dwd)
+    facts = S.fact_order(doubled, t.history, t.product, t.date, t.geo)
+    assert facts.count() == 2 * t.dwd.count() == facts.select("order_line_id").distinct().count()
+
+
+def test_a_refreshed_table_builds_no_other(spark):
+    t = C.Context(spark, SF)
+    assert set(t.refreshed("overview", "anomaly")[0]) == {"overview", "anomaly"} and not t.refreshed()[0]
