@@ -44,3 +44,4 @@ def test_typing_and_copying_parse_a_row_once(spark):
     parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp(")
     one = parses(raw.select(P.parse_invoice_ts("invoicedate")))
     assert one > 0 and parses(L.ods_typed(raw)) == one
+    assert parses(R.replicate_dataset(raw.drop("batch_dt"), 3, 2)) == one
