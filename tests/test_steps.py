@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from salesmart.functions import parsing as P
-from salesmart.operators import layers as L
+from salesmart.operators import layers as L, marts as M, quality as Q
 from salesmart.plans import catalogue as C
 from salesmart.sources import retail as R
 
@@ -45,3 +45,25 @@ def test_typing_and_copying_parse_a_row_once(spark):
     one = parses(raw.select(P.parse_invoice_ts("invoicedate")))
     assert one > 0 and parses(L.ods_typed(raw)) == one
     assert parses(R.replicate_dataset(raw.drop("batch_dt"), 3, 2)) == one
+
+
+def test_contribution_by_value_moves_no_lines_for_its_shares(spark):
+    t = C.Context(spark, SF)
+    lines = t.dwd.where("dt > '1998'").unionByName(t.dwd.where("dt <= '1998' and amount < 10"))  # and days without any high-value customer
+    value = M.dws_customer_value(lines)
+    want, got = M.ads_high_value_contribution(lines, value), M.contribution_by_value(lines, value)
+    assert want.schema.names == got.schema.names and want.dtypes == got.dtypes and want.where("high_value_customer_cnt = 0").count() > 0
+    assert want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+    plan = M.contribution_by_value(t.dwd, t.value).select("sales_contribution_pct")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
+def test_sanity_checks_store_no_marked_lines(spark):
+    old = dict(C._STORED)
+    C._STORED.clear()
+    try:
+        assert C.queries()["result_sanity_checks"](spark, SF).count() == 18
+        assert {k[-1] for k in C._STORED} == {"dwd", "value"}
+    finally:
+        C._STORED.clear()
+        C._STORED.update(old)
