@@ -67,3 +67,13 @@ def test_sanity_checks_store_no_marked_lines(spark):
     finally:
         C._STORED.clear()
         C._STORED.update(old)
+
+
+def test_row_hashes_add_longs_and_give_the_decimal_sums(spark):
+    df = spark.range(3000).select((F.col("id") % 2500).alias("a"), F.when(F.col("id") % 7 > 0, F.md5(F.col("id").cast("string"))).alias("b"))
+    row = F.concat_ws("#|#", F.coalesce(F.col("a").cast("string"), F.lit("<NULL>")), F.coalesce("b", F.lit("<NULL>")))
+    for method, h in (("md5", lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10)), ("crc32", F.crc32)):
+        got = df.agg(*Q.row_hashes(df, method))
+        assert tuple(got.first()) == tuple(df.agg(*[F.sum(h(s).cast("decimal(20,0)")).cast("decimal(38,0)") for s in (row, F.reverse(row))]).first())
+        assert "sum(cast(conv" not in got._jdf.queryExecution().optimizedPlan().toString() and {f.dataType.simpleString() for f in got.schema} == {"decimal(38,0)"}
+        assert tuple(df.limit(0).agg(*Q.row_hashes(df, method)).first()) == (0, 0)
