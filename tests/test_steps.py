@@ -77,3 +77,22 @@ def test_row_hashes_add_longs_and_give_the_decimal_sums(spark):
         assert tuple(got.first()) == tuple(df.agg(*[F.sum(h(s).cast("decimal(20,0)")).cast("decimal(38,0)") for s in (row, F.reverse(row))]).first())
         assert "sum(cast(conv" not in got._jdf.queryExecution().optimizedPlan().toString() and {f.dataType.simpleString() for f in got.schema} == {"decimal(38,0)"}
         assert tuple(df.limit(0).agg(*Q.row_hashes(df, method)).first()) == (0, 0)
+
+
+def test_star_gate_finds_orphans_and_repeated_keys_and_moves_no_fact(spark):
+    t = C.Context(spark, SF)
+    none, wrong = F.lit(None).cast("string"), F.lit("x" * 16)
+    bad = t.fact.withColumn("user_id", F.when(F.col("order_id").like("%1"), none).when(F.col("order_id").like("%2"), wrong).otherwise(F.col("user_id")))
+    bad = bad.withColumn("product_id", F.when(F.col("order_id").like("%3"), F.upper("product_id")).otherwise(F.col("product_id"))).withColumn("geo_id", F.when(F.col("order_id").like("%5"), none).otherwise(F.col("geo_id")))
+    bad = bad.withColumn("order_line_id", F.when(F.col("order_id").like("%7"), none).when(F.col("order_id").like("%8"), F.col("order_id")).otherwise(F.col("order_line_id"))).localCheckpoint()
+    product = t.product.unionByName(t.product.where("stockcode like '%4'")).localCheckpoint()
+    history = t.history.unionByName(t.history.where("customerid like '%6'")).withColumn("user_id", F.when(F.col("customerid").like("%9"), none).otherwise(F.col("user_id"))).localCheckpoint()
+    star = M.dws_customer_value_star(bad)
+    rules = {r["rule_code"]: r["abnormal_cnt"] for r in Q.star_quality_rules(t.dwd, history, product, t.geo, t.date, bad, star).collect()}
+    left = lambda dim, keys: bad.join(dim.select(*keys).distinct(), keys, "left_anti").count()
+    assert rules["STAR_015"] == left(history, ["user_id"]) + left(product, ["dt", "product_id"]) + left(t.geo, ["dt", "geo_id"]) + left(t.date, ["dt", "date_id"]) > 0
+    twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1").count()
+    assert rules["STAR_011"] == twice(bad, "order_line_id") > 1 and rules["STAR_005"] == twice(product, "dt", "product_id") > 0 and rules["STAR_013"] == twice(history, "user_id") > 1
+    assert rules["STAR_006"] == rules["STAR_007"] == 0
+    plan = t.star_rules._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
