@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from salesmart.functions import parsing as P
-from salesmart.operators import star as S
+from salesmart.operators import analytics as A, distincts as B, star as S
 from salesmart.plans import catalogue as C
 from salesmart.sources import retail as R, sinks
 
@@ -85,3 +85,36 @@ def test_facts_move_to_their_versions_and_their_day_alone(spark, tmp_path):
 def test_a_refreshed_table_builds_no_other(spark):
     t = C.Context(spark, SF)
     assert set(t.refreshed("overview", "anomaly")[0]) == {"overview", "anomaly"} and not t.refreshed()[0]
+
+
+def test_bitmaps_are_few_and_made_where_they_stay(spark):
+    """Numbers follow first days, a bitmap is made of all its numbers at once, and lines are summed by order, not stored."""
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 40).cast("int")), "yyyy-MM-dd").alias("dt")
+    lines = spark.range(160000).select(day, (F.col("id") + 1000000).cast("string").alias("invoice"), (F.col("id") % 900).cast("string").alias("customerid"), F.lit(2).cast("decimal(12,2)").alias("amount"))
+    lines = lines.unionByName(lines.where("invoice like '%7'")).localCheckpoint()
+    orders = B.orders(lines)
+    assert orders.count() == 160000 and orders.agg(F.sum("amount")).first()[0] == 2 * lines.count()
+    numbers = {c: sinks.stored(B.dictionary(orders, c)) for c in ("invoice", "customerid")}
+    made = B.daily_bitmaps(orders, numbers)
+    plan = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "bitmap_construct_agg" in line or "Exchange" in line]
+    final = [i for i, line in enumerate(plan) if "bitmap_construct_agg" in line and "partial_bitmap" not in line]
+    assert len(final) == 2 and all("partial_bitmap" in plan[i + 1] for i in final)  # no bitmap is moved
+    bits, sums = sinks.stored(made), sinks.stored(B.daily_sums(orders))
+    assert bits.where("kind = 'invoice'").count() <= 40 + 160000 // 32768 + 1  # by the invoices' order as texts it would be 200
+    assert B.alltime_summary(bits, sums).collect() == A.kpi_summary(lines).collect()
+    new = orders.withColumn("invoice", F.concat(F.lit("9"), "invoice"))
+    later = B.extended(numbers["invoice"], new, "invoice").where("number > 160000").join(new.withColumnRenamed("invoice", "value"), "value")
+    assert {r["n"] for r in later.groupBy("dt").agg((F.max("number") - F.min("number") + 1).alias("n")).collect()} == {4000}  # side by side
+
+
+def test_bitmap_queries_store_orders_and_no_lines(spark):
+    old = dict(C._STORED)
+    C._STORED.clear()
+    try:
+        queries = C.queries()
+        got = queries["kpi_summary_bitmaps"](spark, SF).collect()
+        assert {k[-1] for k in C._STORED} == {"orders", "numbers_invoice", "numbers_customerid", "bitmaps", "day_sums"}
+        assert got == queries["kpi_summary"](spark, SF).collect() and got[0]["total_orders"] > 0
+    finally:
+        C._STORED.clear()
+        C._STORED.update(old)
