@@ -18,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, free, materialise, text_or_empty
+from .common import by_key, components, free, materialise, text_or_empty
 from .simhash import hamming_links
 
 #: Words of a shingle. Two texts are near copies from a Jaccard similarity of 0.8 (4/5) on.
@@ -208,12 +208,24 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that SimHash links: classes with one fingerprint, and the trie self-join's links at three bits."""
     prints = materialise(classes.groupBy("fp").agg(F.min("c").alias("rep")))
-    same = classes.join(prints, "fp").where("c <> rep").select(*_ordered("c", "rep"))
+    same = classes.join(by_key(prints), "fp").where("c <> rep").select(*_ordered("c", "rep"))
     return same.union(hamming_links(prints).select(*_ordered("a", "b")))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that join all classes with a chain of near copies.
+def _merged(named: DataFrame, rest: DataFrame) -> DataFrame:
+    """Groups (node, component) after the links ``rest`` (a, b) are added: only the groups that they join are walked."""
+    if rest.isEmpty():
+        return named
+    x, y = (named.select(F.col("node").alias(k), F.col("component").alias(f"g{k}")) for k in "ab")
+    joined = rest.join(by_key(x), "a", "left").join(by_key(y), "b", "left")
+    over = components(joined.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))
+    alone = over.join(by_key(named), "node", "left_anti")
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return named.join(by_key(over), "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
+
+
+def groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of all classes that a chain of near copies joins to others, named by the smallest.
 
     ``classes`` has (c, s1, s2, doc_id, th, n, fp, bands, bits), one row a shingle set. The member that a band
     value's classes are compared with first is that of the smallest hash, so that the bands of a group mostly
@@ -221,11 +233,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     keyed = classes.select("c", "n", F.posexplode("bands").alias("band", "value")).select("c", "n", F.xxhash64("band", "value").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).alias("pivot")).where("m > 1")
-    keyed = materialise(keyed.join(sizes, "key").select("key", "c", "n", "m", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("pn")))
+    keyed = materialise(keyed.join(by_key(sizes), "key").select("key", "c", "n", "m", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("pn")))
     bits = classes.select("c", "n", "bits")
 
     def verified(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         hopeful = materialise(_hopeful(pairs, bits))
+        if hopeful.isEmpty():
+            return hopeful
         if sets is None:
             ends = hopeful.select(F.col("a").alias("c")).union(hopeful.select(F.col("b").alias("c"))).distinct()
             sets = materialise(_sets(docs, materialise(classes.join(ends, "c", "left_semi").select("c", "s1", "s2", "doc_id", "th"))))
@@ -234,18 +248,18 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     star = keyed.where((F.col("c") != F.col("p")) & _sized("n", "pn")).select(*_ordered("c", "p")).distinct()
     found = verified(materialise(star.union(_by_fingerprint(classes)).distinct()))
     named = components(found)
-    held = materialise(keyed.join(named, keyed["c"] == named["node"], "left").select("key", "c", "n", "m", F.coalesce("component", "c").alias("group")))
+    held = materialise(keyed.join(by_key(named), keyed["c"] == named["node"], "left").select("key", "c", "n", "m", F.coalesce("component", "c").alias("group")))
     split = held.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key")
-    held = materialise(held.join(split, "key", "left_semi"))
+    held = materialise(held.join(by_key(split), "key", "left_semi"))
     few, many = held.where(F.col("m") <= BUCKET), held.where(F.col("m") > BUCKET).select("c", "n", "group").distinct()
     x, y = few.alias("x"), few.alias("y")
-    met = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.group") < F.col("y.group")) & _sized("x.n", "y.n"))
+    met = x.join(by_key(y), F.col("x.key") == F.col("y.key")).where((F.col("x.group") < F.col("y.group")) & _sized("x.n", "y.n"))
     rest = verified(met.select(*_ordered("x.c", "y.c")).distinct())
     if not many.isEmpty():
         many = materialise(many.join(bits.select("c", "bits"), "c"))
         sets = materialise(_sets(docs, materialise(classes.join(many, "c", "left_semi").select("c", "s1", "s2", "doc_id", "th"))))
         rest = rest.union(verified(_by_rare_shingles(many, sets), sets))
-    return found.union(rest)
+    return _merged(named, rest)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -257,9 +271,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     base = materialise(_sketches(docs))
     classes = base.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th", "n", "fp", "bands", "bits")).alias("r")).select("s1", "s2", "r.*")
     classes = materialise(classes.withColumn("c", F.monotonically_increasing_id()))
-    named = components(links(docs, classes))
-    of_set = classes.join(named, classes["c"] == named["node"], "left").select("s1", "s2", F.coalesce("component", "c").alias("group"))
-    return base.select("doc_id", "th", "s1", "s2").join(of_set, ["s1", "s2"]).select("doc_id", "th", "group")
+    named = groups(docs, classes)
+    of_set = classes.join(by_key(named), classes["c"] == named["node"], "left").select("s1", "s2", F.coalesce("component", "c").alias("group"))
+    return base.select("doc_id", "th", "s1", "s2").join(by_key(of_set), ["s1", "s2"]).select("doc_id", "th", "group")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
