@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from salesmart.functions.parsing import packed, unpacked
-from salesmart.operators import star as S
+from salesmart.operators import quality as Q, star as S
 from salesmart.plans import catalogue as C
 from salesmart.sources import retail as R, sinks
 
@@ -100,3 +100,21 @@ def test_replaced_dates_without_rows_go(spark, tmp_path):
 def test_late_facts_store_no_clean_lines_beside_the_dated(spark):
     assert C.queries()["late_refresh_facts"](spark, SF).count() > 0
     assert {k[-1] for k in C._STORED} == {"dated", "early_history", "refreshed_fact"}
+
+
+@fresh
+def test_star_gate_over_dated_tables_moves_nothing_by_date(spark):
+    t = C.Context(spark, SF)
+    rules = t.star_rules
+    assert {k[-1] for k in C._STORED} == {"dated", "history", "dated_fact"}
+    assert {r["check_status"] for r in rules.collect()} == {"PASS"} and rules.count() == 18
+    plan = no_broadcast(spark, lambda: t.star_rules)
+    moved = [line for line in plan if "Exchange hashpartitioning" in line]
+    assert moved and not any("hashpartitioning(dt" in line for line in moved)
+
+
+def test_line_ids_meet_their_repeats_by_size(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,), (None,), ("c",)], "k string")
+    got = Q.repeated(df, "k")
+    assert sorted(r["k"] or "" for r in got.collect()) == ["", "b"]
+    assert not any("_h" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line)
