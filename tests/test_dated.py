@@ -118,3 +118,24 @@ def test_line_ids_meet_their_repeats_by_size(spark):
     got = Q.repeated(df, "k")
     assert sorted(r["k"] or "" for r in got.collect()) == ["", "b"]
     assert not any("_h" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line)
+
+
+@fresh
+def test_facts_by_asof_merge_days_and_no_lines(spark):
+    t = C.Context(spark, SF)
+    want = S.dated_facts(t.dated, t.dated_history)
+    got = C.queries()["fact_order_asof"](spark, SF)
+    assert {k[-1] for k in C._STORED} == {"dated", "history"}
+    assert differ(got, want) == 0 and want.count() > 0
+    # a hundred copies of the lines have no more days
+    days, sizes = [], []
+    merge = S.asof_merge
+    try:
+        S.asof_merge = lambda rows, *rest: days.append(rows.count()) or merge(rows, *rest)
+        for lines in (t.dated, t.dated.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100))))):
+            sizes.append(S.dated_facts(lines, t.dated_history, asof=True).count())
+        dims = S.dim_product(t.dwd), S.dim_date(t.dwd), S.dim_geo(t.dwd)
+        assert differ(S.fact_order(t.dwd, t.history, *dims, asof=True), want) == 0
+    finally:
+        S.asof_merge = merge
+    assert days[0] == days[1] == days[2] < sizes[0] and sizes[1] == 100 * sizes[0]
