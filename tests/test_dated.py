@@ -139,3 +139,18 @@ def test_facts_by_asof_merge_days_and_no_lines(spark):
     finally:
         S.asof_merge = merge
     assert days[0] == days[1] == days[2] < sizes[0] and sizes[1] == 100 * sizes[0]
+
+
+@fresh
+def test_load_states_store_one_date_of_the_star_tables(spark):
+    t = C.Context(spark, SF)
+    written, write = {}, sinks.overwrite_partition
+    try:
+        sinks.overwrite_partition = lambda df, path, dt: written.update({tuple(df.columns): df.localCheckpoint()}) or write(df, path, dt)
+        assert C.queries()["star_load_states"](spark, SF).count() == 10
+    finally:
+        sinks.overwrite_partition = write
+    assert {k[-1] for k in C._STORED} == {"ods", "dwd", "history", "gate_log"}  # and no whole product, date, geo or fact table
+    day = F.col("dt") == C.DAY
+    for want in (S.scd2_snapshot(t.history, C.DAY), t.product.where(day), t.date.where(day), t.geo.where(day), t.fact.where(day), t.star.where(day)):
+        assert differ(written[tuple(want.columns)], want) == 0 and want.count() > 0
